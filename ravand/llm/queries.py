@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ravand.llm.group_split import assign_splits, spread_uids
 from ravand.llm.lookalikes import lookalike_pairs, normalize_look
+from ravand.llm.overlap import cross_split_pairs, overlap_report
 from ravand.llm.tokenize import encode_corpus
 from ravand.llm.turns import speaker_turns, turn_lines
 
@@ -19,6 +20,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_split_pairs(_table(spark, sf_dir, "asr_manifest"))
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap_report(_table(spark, sf_dir, "asr_manifest"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread_uids(_table(spark, sf_dir, "asr_manifest"))
 
@@ -47,7 +56,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(_table(spark, sf_dir, "documents"), "doc_id", "text", TOKENIZER)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_assigned, p5_found, p5_lines, p6_found, p6_normalized, p7_ids)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_assigned, p5_found, p5_lines, p6_found, p6_normalized, p7_ids)}
 _TRIM = "nullif(regexp_replace({}, '^[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+|[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+$', '', 'g'), '')"
 
 SQL: dict[str, str] = {
