@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ravand.llm.group_split import assign_splits, spread_uids
+from ravand.llm.leakage import exact_leaks, leaked_passages
 from ravand.llm.lookalikes import lookalike_pairs, normalize_look
 from ravand.llm.overlap import cross_split_pairs, overlap_report
+from ravand.llm.sentences import sentence_units
 from ravand.llm.tokenize import encode_corpus
 from ravand.llm.turns import speaker_turns, turn_lines
 
@@ -56,7 +58,19 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(_table(spark, sf_dir, "documents"), "doc_id", "text", TOKENIZER)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_assigned, p5_found, p5_lines, p6_found, p6_normalized, p7_ids)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
+
+
+def p8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_units(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_assigned, p5_found, p5_lines, p6_found, p6_normalized, p7_ids, p8_found, p8_near, p9_found)}
 _TRIM = "nullif(regexp_replace({}, '^[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+|[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+$', '', 'g'), '')"
 
 SQL: dict[str, str] = {
