@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once for each row, not once for each element that refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double"))
 
@@ -30,8 +37,7 @@ def mono(interleaved: Column) -> Column:
 
 def without_offset(a: Column, low: float = -32768.0, high: float = 32767.0) -> Column:
     """The mean taken away, clipped and cut to whole numbers (A2)."""
-    m = mean(a)
-    return F.transform(a, lambda x: F.greatest(F.lit(low), F.least(F.lit(high), x.cast("double") - m)).cast("int"))
+    return let(mean(a), lambda m: F.transform(a, lambda x: F.greatest(F.lit(low), F.least(F.lit(high), x.cast("double") - m)).cast("int")))
 
 
 def loudness_gain(a: Column, target_db: float = -20.0) -> Column:
@@ -43,23 +49,24 @@ def loudness_gain(a: Column, target_db: float = -20.0) -> Column:
 
 def normalized(a: Column, target_db: float = -20.0) -> Column:
     """Peak to 0.95, then the level to the target (A4)."""
-    p = peak(a)
-    scaled = F.when(p > 0, F.transform(a, lambda x: x.cast("double") / p * 0.95)).otherwise(F.transform(a, lambda x: x.cast("double")))
-    level = rms(scaled)
-    return F.when(level > 0, F.transform(scaled, lambda x: x * (F.lit(10 ** (target_db / 20)) / level))).otherwise(scaled)
+    scaled = let(peak(a), lambda p: F.when(p > 0, F.transform(a, lambda x: x.cast("double") / p * 0.95)).otherwise(F.transform(a, lambda x: x.cast("double"))))
+
+    def to_level(y: Column) -> Column:
+        return let(rms(y), lambda level: F.when(level > 0, F.transform(y, lambda x: x * (F.lit(10 ** (target_db / 20)) / level))).otherwise(y))
+
+    return let(scaled, to_level)
 
 
 def changed_volume(a: Column, factor: float) -> Column:
     """Scaled; brought down to 0.95 if it would clip."""
     scaled = F.transform(a, lambda x: x.cast("double") * factor)
-    p = peak(scaled)
-    return F.when(p > 1.0, F.transform(scaled, lambda x: x / p * 0.95)).otherwise(scaled)
+    return let(scaled, lambda y: let(peak(y), lambda p: F.when(p > 1.0, F.transform(y, lambda x: x / p * 0.95)).otherwise(y)))
 
 
 def guarded(a: Column) -> Column:
     """Divided by the peak where that is over one."""
-    p = peak(a).cast("double")
-    return F.when(p > 1.0, F.transform(a, lambda x: x.cast("double") / p)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    plain = F.transform(a, lambda x: x.cast("double"))
+    return let(plain, lambda y: let(peak(y), lambda p: F.when(p > 1.0, F.transform(y, lambda x: x / p)).otherwise(y)))
 
 
 def trimmed_silence(a: Column, threshold: float) -> Column:
