@@ -70,3 +70,20 @@ def keep_islands(islands: DataFrame, lengths: DataFrame, gap_ms: int = 500, leas
     merged = rows.groupBy("file_id", "head").agg(F.max("end_ms").alias("end_ms")).select("file_id", F.col("head.start_ms").alias("start_ms"), "end_ms").where(f"end_ms - start_ms >= {least_ms}")
     whole = lengths.join(merged.select("file_id").distinct(), "file_id", "left_anti").select("file_id", F.lit(0).cast("bigint").alias("start_ms"), F.col("length_ms").alias("end_ms"))
     return merged.unionByName(whole)
+
+
+def with_rank(df: DataFrame, keys: list[str], bucket: Column, order: list[str], name: str = "row_no", size: str | None = None) -> DataFrame:
+    """`df` with the place of each row in its key's order, from 1, and with the key's row count if `size` is named.
+
+    `bucket` is a coarse column that grows with the order: rows are ranked within (key, bucket), and the
+    counts of the buckets before are added.
+    """
+    rows = df.withColumn("__b", bucket)
+    counts = rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    every = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("__n").over(every.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*keys, "__b", before.alias("__before"), F.sum("__n").over(every).alias("__all"))
+    rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(*order)))
+    out = rows.join(counts, [*keys, "__b"])
+    extra = [F.col("__all").alias(size)] if size else []
+    return out.select(*df.columns, (F.col("__r") + F.col("__before")).alias(name), *extra)

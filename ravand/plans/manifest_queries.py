@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ravand.functions import text as T
+from ravand.operators.islands import with_rank
 from ravand.operators.split import shuffled_split
 from ravand.operators.stems import match_stems
 from ravand.plans.registry import query, table
@@ -78,8 +79,9 @@ def pr2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pr3_uid_chain", "select rec_id, coalesce(nullif(uid, ''), nullif(audio_path, ''), cast(row_number() over (partition by dataset order by rec_id) - 1 as varchar)) as uid from asr_manifest where dataset is not null")
 def pr3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The uid, else the path, else the row's place in its dataset."""
-    place = (F.row_number().over(Window.partitionBy("dataset").orderBy("rec_id")) - 1).cast("string")
-    return table(spark, sf_dir, "asr_manifest").where("dataset is not null").select("rec_id", F.coalesce(F.nullif("uid", lit("")), F.nullif("audio_path", lit("")), place).alias("uid"))
+    rows = with_rank(table(spark, sf_dir, "asr_manifest").where("dataset is not null"), ["dataset"], F.floor(c("rec_id") / 100_000), ["rec_id"])
+    place = (c("row_no") - 1).cast("string")
+    return rows.select("rec_id", F.coalesce(F.nullif("uid", lit("")), F.nullif("audio_path", lit("")), place).alias("uid"))
 
 
 @query("pr4_prefix", "select rec_id, '/data/root' || '/' || audio_path as path, coalesce(text, '') as text, 'fa' as language from asr_manifest where audio_path is not null")
@@ -171,8 +173,7 @@ def l01(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("l02_head_split", "with r as (select file_name, line_id, row_number() over (partition by file_name order by line_no) as r, count(*) over (partition by file_name) as n from manifest_raw) select line_id, case when r <= greatest(1, n * 98 // 100) then 'train' else 'validation' end as split from r")
 def l02(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 98 per cent of each manifest file, at least one row, and the rest (L2)."""
-    w = Window.partitionBy("file_name")
-    r = table(spark, sf_dir, "manifest_raw").select("line_id", F.row_number().over(w.orderBy("line_no")).alias("r"), F.count(lit(1)).over(w).alias("n"))
+    r = with_rank(table(spark, sf_dir, "manifest_raw").select("line_id", "file_name", "line_no"), ["file_name"], F.floor(c("line_no") / 100_000), ["line_no"], "r", "n")
     return r.select("line_id", when(c("r") <= F.greatest(lit(1), F.expr("n * 98 div 100")), "train").otherwise("validation").alias("split"))
 
 
