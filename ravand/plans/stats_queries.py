@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ravand.functions import text as T
 from ravand.plans.registry import query, table
 from ravand.plans.text_queries import s_words
+from ravand.session import spread
 
 c, lit, when = F.col, F.lit, F.when
 
@@ -63,7 +64,7 @@ def ag5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ag7_top_word", f"with e as (select doc_id, unnest({s_words('text')}) as w, unnest(range(1, {_W} + 1)) as i from documents), g as (select doc_id, w, count(*) as n, min(i) as first from e group by doc_id, w) select doc_id, arg_max(w, (n, -first)) as word, max(n) as n from g group by doc_id")
 def ag7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent word of a text, the first seen of equals (AG7)."""
-    e = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.words(c("text"))).alias("i", "w"))
+    e = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(T.words(c("text"))).alias("i", "w"))
     g = e.groupBy("doc_id", "w").agg(F.count(lit(1)).alias("n"), F.min("i").alias("first"))
     return g.groupBy("doc_id").agg(F.max(F.struct("n", (-c("first")).alias("f"), "w")).alias("x")).select("doc_id", c("x.w").alias("word"), c("x.n").alias("n"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ravand.functions import arrow
 from ravand.functions import text as T
 from ravand.plans.registry import query, table
+from ravand.session import spread
 
 B = T.BLANK_RE2
 ENDS = f"[{T.ENDINGS}]"
@@ -37,11 +38,15 @@ def s_chain(t: str, *steps: tuple[str, str]) -> str:
     return t
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def per_document(name: str, column: Callable[[Column], Column], sql: str | None = None, out: str = "result") -> None:
     """A query that maps documents.text to one column."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return table(spark, sf_dir, "documents").select("doc_id", column(F.col("text")).alias(out))
+        return documents(spark, sf_dir).select("doc_id", column(F.col("text")).alias(out))
 
     query(name, f"select doc_id, {sql} as {out} from documents" if sql else None)(run)
 
@@ -65,7 +70,7 @@ per_document("t01_words", joined(T.words), f"array_to_string({s_words('text')},
     select w.doc_id, case when len(w.w) > 1 then o.result else w.text end as result from w left join o using (doc_id)""",
 )
 def t02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.collapse_word_runs(F.col("text")).alias("result"))
+    return documents(spark, sf_dir).select("doc_id", T.collapse_word_runs(F.col("text")).alias("result"))
 
 
 per_document("t03_phrases", T.collapse_phrases)
@@ -114,7 +119,7 @@ per_document("t18_close", T.close_text, "case when {0} <> '' and right({0}, 1) n
 )
 def t19(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and issues of a text (T19); word frequencies are counted in a shuffle, so long texts cost no square."""
-    d = table(spark, sf_dir, "documents").where("text <> ''")
+    d = documents(spark, sf_dir).where("text <> ''")
     base = d.select("doc_id", F.size(T.words(F.col("text"))).alias("word_count"), F.size(T._clauses(F.col("text"))).alias("sentence_count"), T.count_of(F.col("text"), ENDS).alias("punctuation_count"))
     top = d.select("doc_id", F.explode(T.words(F.col("text"))).alias("x")).groupBy("doc_id", "x").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.max("n").alias("top"))
     a = base.join(top, "doc_id", "left").fillna(0, ["top"])
@@ -154,7 +159,7 @@ per_document("t29_brackets", T.remove_brackets, "translate(text, '()[]{}', '')")
         from documents where text is not null""",
 )
 def t30(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", *[c.alias(n) for n, c in T.text_statistics(F.col("text")).items()])
+    return documents(spark, sf_dir).where("text is not null").select("doc_id", *[c.alias(n) for n, c in T.text_statistics(F.col("text")).items()])
 
 
 @query(
@@ -211,7 +216,7 @@ def t34(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def t35(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes before and after cleaning and the reduction in per cent."""
-    c = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.col("text").alias("o"), T.strip(T.squeeze(T.space_marks(F.col("text")))).alias("c"))
+    c = documents(spark, sf_dir).where("text is not null").select("doc_id", F.col("text").alias("o"), T.strip(T.squeeze(T.space_marks(F.col("text")))).alias("c"))
     n, m = F.length("o"), F.length("c")
     return c.select("doc_id", n.alias("original_length"), m.alias("cleaned_length"), F.size(T.words(F.col("o"))).alias("original_words"), F.size(T.words(F.col("c"))).alias("cleaned_words"), F.when(n > 0, (n - m) / n * 100).otherwise(0.0).alias("reduction_percentage"))
 
@@ -233,7 +238,7 @@ def t37(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def t38(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word error rate of a corpus: edits over reference words (T38). The hypotheses are the texts with two words altered."""
-    p = table(spark, sf_dir, "asr_manifest").where("text is not null").select(F.col("text").alias("a"), F.regexp_replace(F.replace("text", F.lit("را"), F.lit("")), "کرد", "کرده بود").alias("b"))
+    p = spread(table(spark, sf_dir, "asr_manifest").where("text is not null").select("text")).select(F.col("text").alias("a"), F.regexp_replace(F.replace("text", F.lit("را"), F.lit("")), "کرد", "کرده بود").alias("b"))
     c = p.select(F.size(T.words(F.col("a"))).cast("bigint").alias("n"), T.word_distance(F.col("a"), F.col("b")).cast("bigint").alias("e"))
     return c.agg(F.sum("e").alias("edits"), F.sum("n").alias("reference_words"), (F.lit(100.0) * F.sum("e") / F.sum("n")).alias("wer"))
 
@@ -318,7 +323,7 @@ _OVERALL = "word_accuracy * 0.25e0 + sentence_fluency * 0.20e0 + punctuation_acc
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     return (
-        table(spark, sf_dir, "documents")
+        documents(spark, sf_dir)
         .where("text is not null")
         .select("doc_id", T.word_accuracy(t).alias("word_accuracy"), T.sentence_fluency(t).alias("sentence_fluency"), T.punctuation_accuracy(t).alias("punctuation_accuracy"), T.speaker_separation(t).alias("speaker_separation"), F.lit(0.5).alias("confidence"), T.noise_level(F.lit(20.0), F.lit(0.8)).alias("noise_level"), T.repetition_score(t).alias("repetition"), T.context_coherence(t).alias("coherence"))
     )
@@ -372,6 +377,6 @@ def q12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best of up to three passes over a text - as it is, cleaned, post-processed - the earliest of equals."""
     t = F.col("text")
     passes = {"1": t, "2": T.clean_repetition(t), "3": T.close_text(T.space_marks(t))}
-    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", *[v.alias(f"t{k}") for k, v in passes.items()])
+    rows = documents(spark, sf_dir).where("text is not null").select("doc_id", *[v.alias(f"t{k}") for k, v in passes.items()])
     scored = rows.select("doc_id", F.explode(F.array(*[F.struct(T.overall_quality(F.col(f"t{k}"), F.lit(0.5), F.lit(0.25)).alias("score"), F.lit(-int(k)).alias("turn")) for k in passes])).alias("x"))
     return scored.groupBy("doc_id").agg(F.max("x").alias("b")).select("doc_id", (-F.col("b.turn")).alias("best_pass"), F.col("b.score").alias("score"))

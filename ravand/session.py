@@ -80,3 +80,12 @@ def release() -> None:
 
 
 atexit.register(release)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over at least as many partitions as there are cores; unchanged, without a shuffle, if it has them.
+
+    For work that costs much more than moving its rows: a small file is one partition, and one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores)
