@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravand.llm import codepoints as cp
+from ravand.session import spread
 
 WORDS = 8
 BUDGET = 1
@@ -138,7 +139,7 @@ class Passages:
 def leaked_passages(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = WORDS, budget: int = BUDGET) -> DataFrame:
     """(item_id, doc_id, distance): documents that hold a passage of an item, and the least number of word errors."""
     rows = items.select(F.col(f"`{item_id}`").cast("bigint"), F.col(f"`{item_text}`")).where(F.col(f"`{item_text}`").isNotNull()).collect()
-    texts = documents.select(F.col(f"`{doc_id}`").cast("bigint"), F.col(f"`{doc_text}`")).where(F.col(f"`{doc_text}`").isNotNull())
+    texts = spread(documents.select(F.col(f"`{doc_id}`").cast("bigint"), F.col(f"`{doc_text}`")).where(F.col(f"`{doc_text}`").isNotNull()))
     schema = "item_id bigint, doc_id bigint, distance bigint"
     blocks, block, total = [], [], 0
     for row_id, text in rows:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravand.llm import codepoints as cp
+from ravand.session import spread
 
 #: Words a worker remembers with their ids; beyond it the memory starts anew (a bound of memory, not of words).
 REMEMBERED = 1_000_000
@@ -210,4 +211,4 @@ def encode_corpus(df: DataFrame, row_id: str, text: str, tokenizer: str = "/opt/
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=[row_id, "ids"])
 
     kind = df.schema[row_id].dataType.simpleString()
-    return df.select(F.col(f"`{row_id}`"), F.col(f"`{text}`")).mapInArrow(run, f"`{row_id}` {kind}, ids array<int>")
+    return spread(df.select(F.col(f"`{row_id}`"), F.col(f"`{text}`"))).mapInArrow(run, f"`{row_id}` {kind}, ids array<int>")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravand.llm import codepoints as cp
-from ravand.session import materialize
+from ravand.session import materialize, spread
 
 # Number words of speaker names.
 NUMBER_WORDS = {
@@ -128,7 +128,7 @@ def parse_chunks(df: DataFrame, text: str, speaker: str, keep: list[str], with_t
                 names_out.append("clean_text")
             yield pa.RecordBatch.from_arrays(columns, names=names_out)
 
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"), F.col(f"`{speaker}`").alias("__speaker")).mapInArrow(run, schema)
+    return spread(df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"), F.col(f"`{speaker}`").alias("__speaker"))).mapInArrow(run, schema)
 
 
 def turn_lines(df: DataFrame, with_text: bool = True, bucket_ms: int = 3_600_000) -> DataFrame:
