@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ravand.llm import codepoints as cp
 from ravand.llm.group_split import split_name
-from ravand.session import materialize
+from ravand.session import materialize, spread
 
 WINDOW = 3
 SHORT = 14
@@ -60,7 +60,7 @@ def word_sequences(df: DataFrame, keep: list[str], text: str) -> DataFrame:
                 columns = [*(c.slice(a, b - a) for c in batch.columns[: len(keep)]), *keys, words]
                 yield pa.RecordBatch.from_arrays([c.filter(some) for c in columns], names=[*keep, "k1", "k2", "words"])
 
-    return df.select(*keep, F.col(f"`{text}`").alias("__text")).where("__text is not null").mapInArrow(run, schema)
+    return spread(df.select(*keep, F.col(f"`{text}`").alias("__text")).where("__text is not null")).mapInArrow(run, schema)
 
 
 def word_counters(sequences: DataFrame) -> np.ndarray:
@@ -109,14 +109,14 @@ def left_overs(words: np.ndarray) -> list[int]:
 
 
 def class_seeds(classes: DataFrame, counters: np.ndarray) -> DataFrame:
-    """(sig, cid, in_train, in_eval, n, b1, b2) for every seed of every class."""
+    """(sig, cid, n, b1, b2) for every seed of every class."""
     table = classes.sparkSession.sparkContext.broadcast(counters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 5000):
                 batch = whole.slice(at, 5000)
-                lists = batch.column(3)
+                lists = batch.column(1)
                 words = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
                 size = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
                 owner = np.repeat(np.arange(len(size)), size)
@@ -135,10 +135,10 @@ def class_seeds(classes: DataFrame, counters: np.ndarray) -> DataFrame:
                 one = np.uint64(1)
                 maps = [np.bitwise_or.reduceat(np.where(bit // np.uint64(64) == half, one << (bit % np.uint64(64)), np.uint64(0)), first[:-1]).view(np.int64) if len(words) else np.zeros(0, np.int64) for half in (0, 1)]
                 pick = pa.array(who)
-                columns = [pa.array(sig.view(np.int64)), *(batch.column(k).take(pick) for k in range(3)), pa.array(size[who].astype(np.int32)), *(pa.array(m[who]) for m in maps)]
-                yield pa.RecordBatch.from_arrays(columns, names=["sig", "cid", "in_train", "in_eval", "n", "b1", "b2"])
+                columns = [pa.array(sig.view(np.int64)), batch.column(0).take(pick), pa.array(size[who].astype(np.int32)), *(pa.array(m[who]) for m in maps)]
+                yield pa.RecordBatch.from_arrays(columns, names=["sig", "cid", "n", "b1", "b2"])
 
-    return classes.select("cid", "in_train", "in_eval", "words").mapInArrow(run, "sig bigint, cid bigint, in_train boolean, in_eval boolean, n int, b1 bigint, b2 bigint")
+    return spread(classes.select("cid", "words")).mapInArrow(run, "sig bigint, cid bigint, n int, b1 bigint, b2 bigint")
 
 
 def chain_length(a: list[int], b: list[int]) -> int:
@@ -188,9 +188,8 @@ def cross_split_classes(df: DataFrame, row_id: str = "rec_id", text: str = "text
     classes = sequences.groupBy("k1", "k2").agg(F.min("rec_id").alias("cid"), F.bool_or(F.col("side") == "train").alias("in_train"), F.bool_or(F.col("side") == "eval").alias("in_eval"), F.first("words").alias("words"))
     classes = materialize(classes)
     members = sequences.select("rec_id", "side", "k1", "k2").join(classes.select("k1", "k2", "cid"), ["k1", "k2"]).select("rec_id", "side", "cid")
-    every = class_seeds(classes, counters)
-    t = every.where("in_train").select("sig", F.col("cid").alias("ca"), F.col("n").alias("na"), F.col("b1").alias("a1"), F.col("b2").alias("a2"))
-    e = every.where("in_eval").select("sig", F.col("cid").alias("cb"), F.col("n").alias("nb"), "b1", "b2")
+    t = class_seeds(classes.where("in_train"), counters).select("sig", F.col("cid").alias("ca"), F.col("n").alias("na"), F.col("b1").alias("a1"), F.col("b2").alias("a2"))
+    e = class_seeds(classes.where("in_eval"), counters).select("sig", F.col("cid").alias("cb"), F.col("n").alias("nb"), "b1", "b2")
     differ = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
     near = (F.col("ca") != F.col("cb")) & (differ <= 2 * F.floor(F.greatest("na", "nb") / F.lit(TOLERANCE)))
     candidates = t.join(e, "sig").where(near).select("ca", "cb").distinct()
