@@ -23,8 +23,8 @@ def p1_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _periods_sql(name: str, keys: str, speaker: str) -> str:
     return f"""
       select '{name}' as table_name, file_id, {speaker} as speaker_id, kind, start_ms, end_ms from (
-        with r as (select {keys}, cast(round(start_time * 1000) as bigint) as s, cast(round(end_time * 1000) as bigint) as e
-                   from {name} where end_time > start_time and isfinite(start_time) and isfinite(end_time)),
+        with r as (select {keys}, cast(round(start_time * 1000) as bigint) as s, max(cast(round(end_time * 1000) as bigint)) as e
+                   from {name} where end_time > start_time and isfinite(start_time) and isfinite(end_time) group by {keys}, cast(round(start_time * 1000) as bigint)),
              m as (select *, max(e) over (partition by {keys} order by s, e rows between unbounded preceding and 1 preceding) as before from r),
              i as (select *, sum(case when before is null or s > before then 1 else 0 end) over (partition by {keys} order by s, e rows between unbounded preceding and current row) as island from m),
              p as (select {keys}, island, min(s) as s, max(e) as e from i group by {keys}, island),
