@@ -33,6 +33,8 @@ from ravand.session import materialize, spread
 WINDOW = 3
 SHORT = 14
 COUNTERS = 1 << 18
+#: Bits of the filter of evaluation seeds: a bound of what is broadcast; a full filter only stops saving work.
+FILTER_BITS = 1 << 24
 #: One word in so many may differ.
 TOLERANCE = 5
 
@@ -108,9 +110,19 @@ def left_overs(words: np.ndarray) -> list[int]:
     return list({(total - sum(drop)) % 2**64 for k in range(most + 1) for drop in itertools.combinations(hashes, k)})
 
 
-def class_seeds(classes: DataFrame, counters: np.ndarray) -> DataFrame:
-    """(sig, cid, n, b1, b2) for every seed of every class."""
+def seed_filter(found: DataFrame) -> np.ndarray:
+    """Bit map of the seeds of `found`, of FILTER_BITS bits at any size: a seed whose bit is not set is not among them."""
+    place = F.expr(f"cast(shiftright(sig & {FILTER_BITS - 1}, 6) as int)")
+    words = found.groupBy(place.alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(sig & 63 as int))")).alias("w")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[words["i"].to_numpy(np.int64)] = words["w"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def class_seeds(classes: DataFrame, counters: np.ndarray, among: np.ndarray | None = None) -> DataFrame:
+    """(sig, cid, n, b1, b2) for every seed of every class, without those that `among` rules out."""
     table = classes.sparkSession.sparkContext.broadcast(counters)
+    wanted = classes.sparkSession.sparkContext.broadcast(among)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -129,6 +141,10 @@ def class_seeds(classes: DataFrame, counters: np.ndarray) -> DataFrame:
                     sigs.append(np.array(extra, np.uint64))
                     whos.append(np.full(len(extra), i))
                 sig, who = np.concatenate(sigs), np.concatenate(whos).astype(np.int64)
+                if wanted.value is not None:
+                    low = sig & np.uint64(FILTER_BITS - 1)
+                    may = (wanted.value[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
+                    sig, who = sig[may], who[may]
                 once = np.unique(np.stack([sig, who.astype(np.uint64)], axis=1), axis=0) if len(sig) else np.zeros((0, 2), np.uint64)
                 sig, who = once[:, 0], once[:, 1].astype(np.int64)
                 bit = (cp.mix(words + np.uint64(77)) >> np.uint64(57)).astype(np.uint64)
@@ -188,8 +204,10 @@ def cross_split_classes(df: DataFrame, row_id: str = "rec_id", text: str = "text
     classes = sequences.groupBy("k1", "k2").agg(F.min("rec_id").alias("cid"), F.bool_or(F.col("side") == "train").alias("in_train"), F.bool_or(F.col("side") == "eval").alias("in_eval"), F.first("words").alias("words"))
     classes = materialize(classes)
     members = sequences.select("rec_id", "side", "k1", "k2").join(classes.select("k1", "k2", "cid"), ["k1", "k2"]).select("rec_id", "side", "cid")
-    t = class_seeds(classes.where("in_train"), counters).select("sig", F.col("cid").alias("ca"), F.col("n").alias("na"), F.col("b1").alias("a1"), F.col("b2").alias("a2"))
-    e = class_seeds(classes.where("in_eval"), counters).select("sig", F.col("cid").alias("cb"), F.col("n").alias("nb"), "b1", "b2")
+    evaluation = class_seeds(classes.where("in_eval"), counters)
+    # most train seeds meet no evaluation seed: the filter keeps them out of the shuffle
+    t = class_seeds(classes.where("in_train"), counters, seed_filter(evaluation)).select("sig", F.col("cid").alias("ca"), F.col("n").alias("na"), F.col("b1").alias("a1"), F.col("b2").alias("a2"))
+    e = evaluation.select("sig", F.col("cid").alias("cb"), F.col("n").alias("nb"), "b1", "b2")
     differ = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
     near = (F.col("ca") != F.col("cb")) & (differ <= 2 * F.floor(F.greatest("na", "nb") / F.lit(TOLERANCE)))
     candidates = t.join(e, "sig").where(near).select("ca", "cb").distinct()
