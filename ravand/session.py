@@ -27,20 +27,6 @@ def create_session(app: str = "ravand", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` in the cluster's shared checkpoint folder.
-
-    The folder is spark.checkpoint.dir of the session. Only where neither that nor a directory set on
-    the context exists (single-machine tests) a temporary folder is used.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ravand-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share; a temporary one only where the session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
