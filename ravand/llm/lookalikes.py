@@ -51,6 +51,16 @@ def normalize_look(df: DataFrame, text: str, out: str = "norm_text") -> DataFram
     return source.mapInArrow(run, schema)
 
 
+def normalized_texts(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """(table_name, id, norm_text) of every row of every table. `tables` maps a name to (DataFrame, id column, text column)."""
+    rows = None
+    for name, (df, row_id, text) in tables.items():
+        part = normalize_look(df.select(F.col(f"`{row_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text")), "text")
+        part = part.select(F.lit(name).alias("table_name"), "id", "norm_text")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
 def look_keys(df: DataFrame, row_id: str, text: str) -> DataFrame:
     """(id, k1, k2, raw) of every row whose text holds a letter: hashes of its normal form and of its raw text."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ravand.llm.group_split import assign_splits, spread_uids
 from ravand.llm.leakage import exact_leaks, leaked_passages
-from ravand.llm.lookalikes import lookalike_pairs, normalize_look
+from ravand.llm.lookalikes import lookalike_pairs, normalized_texts
 from ravand.llm.overlap import cross_split_pairs, overlap_report
 from ravand.llm.sentences import sentence_units
 from ravand.llm.tokenize import encode_corpus
@@ -46,12 +46,16 @@ def p5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_lines(_table(spark, sf_dir, "chunk_info"))
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, str, str]]:
+    return {"asr_manifest": (_table(spark, sf_dir, "asr_manifest"), "rec_id", "text"), "chunk_info": (_table(spark, sf_dir, "chunk_info"), "row_id", "text")}
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookalike_pairs({"asr_manifest": (_table(spark, sf_dir, "asr_manifest"), "rec_id", "text"), "chunk_info": (_table(spark, sf_dir, "chunk_info"), "row_id", "text")})
+    return lookalike_pairs(_texts(spark, sf_dir))
 
 
 def p6_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize_look(_table(spark, sf_dir, "asr_manifest").select("rec_id", "text"), "text").select("rec_id", "norm_text")
+    return normalized_texts(_texts(spark, sf_dir))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,3 +52,12 @@ def test_pairs(spark):
     df = spark.createDataFrame(rows, "id bigint, text string").selectExpr("*", "'clash' as k1", "0 as raw")
     found = lookalike_pairs({"t": (df, "id", "text"), "u": (df.where("false"), "id", "text")})
     assert sorted((r["table_name"], r["id_a"], r["id_b"]) for r in found.collect()) == [("t", 1, 2), ("t", 1, 3), ("t", 10, 11)]
+
+
+def test_every_text_of_both_tables_comes_out(spark, tmp_path):
+    from ravand.llm.queries import p6_normalized
+
+    spark.createDataFrame([(1, "كتاب"), (2, None), (3, "..."), (3, "...")], "rec_id bigint, text string").write.parquet(f"{tmp_path}/asr_manifest.parquet")
+    spark.createDataFrame([(1, "ｐｏｄ"), (7, "")], "row_id bigint, text string").write.parquet(f"{tmp_path}/chunk_info.parquet")
+    found = sorted((tuple(r) for r in p6_normalized(spark, str(tmp_path)).select("table_name", "id", "norm_text").collect()), key=str)
+    assert found == sorted([("asr_manifest", 1, "کتاب"), ("asr_manifest", 2, None), ("asr_manifest", 3, "..."), ("asr_manifest", 3, "..."), ("chunk_info", 1, "pod"), ("chunk_info", 7, "")], key=str)
