@@ -4,8 +4,10 @@ Texts are word-hash sequences in the normal form of lookalikes.py, without case,
 copies form one class and only classes are compared. Of every WINDOW words the one that is rarest in the whole
 corpus is selected (winnowing with minima by corpus frequency, ties by hash); rolling hashes over three selected
 words, one of which may be skipped, are the seeds that join the classes of one split with those of the others.
-Texts of up to SHORT words, where winnowing guarantees nothing, are joined on the hashes of what is left when
-one or two words are dropped, which is exact. A pair of classes is kept if its chain of collinear word matches,
+Winnowing alone may miss a pair whose changes fall on the selected words, so every text also has exact marks. Texts
+of up to SHORT words are joined on the hashes of what is left when one or two words are dropped. Longer ones are
+joined on their rarest words (`rarest_marks`): texts within tolerance share so many words in order that some two or
+three of the rarest of one are among the rarest of the other, in the same order. A pair of classes is kept if its chain of collinear word matches,
 extended by alignment over the whole texts, leaves at most a fifth of the longer text's words.
 
 Corpus frequencies are counted over all rows in a table of fixed size (2^18 counters), so what is broadcast has
@@ -33,6 +35,8 @@ from ravand.session import materialize, spread
 WINDOW = 3
 SHORT = 14
 COUNTERS = 1 << 18
+#: Up to so many words a text's rarest words are joined by pairs, beyond by single words: pairs grow with the square of the length.
+PAIRED = 125
 #: Bits of the filter of evaluation seeds: a bound of what is broadcast; a full filter only stops saving work.
 FILTER_BITS = 1 << 24
 #: One word in so many may differ.
@@ -110,6 +114,61 @@ def left_overs(words: np.ndarray) -> list[int]:
     return list({(total - sum(drop)) % 2**64 for k in range(most + 1) for drop in itertools.combinations(hashes, k)})
 
 
+def rarest_marks(words: np.ndarray, owner: np.ndarray, counters: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, owner) of every `base` of the rarest words of a text, in text order; two texts within tolerance share one.
+
+    Of n words at most n // TOLERANCE lie outside the common chain, so in order of rarity the first k words of the
+    chain are among the first n // TOLERANCE + k words of either text. Where words are so frequent that chance
+    would bring them together, one more word is added; that rests on the words alone, so both texts do the same.
+    """
+    count = counters[words.astype(np.int64) % COUNTERS]
+    at = np.lexsort((words, count, owner))  # stable: equal words by place
+    count, own = count[at], owner[at]
+    first = np.searchsorted(own, own)
+    place = np.arange(len(own)) - first
+    spare = np.bincount(own)[own] // TOLERANCE if len(own) else own
+    keep = place < spare + base + 1
+    at, count, own, place, spare = at[keep], count[keep].astype(float), own[keep], place[keep], spare[keep]
+    total = float(counters.sum())
+    out, who = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+
+    def add(*members: np.ndarray) -> None:
+        h = np.full(len(members[0]), 0xA5 + len(members), np.uint64)
+        with np.errstate(over="ignore"):
+            for x in np.sort(np.stack([at[m] for m in members]), axis=0):
+                h = cp.mix(h * np.uint64(3) + cp.mix(words[x]))
+        out.append(h)
+        who.append(own[members[0]])
+
+    def later(i: np.ndarray, most: int) -> np.ndarray:
+        """Those of the places `i` that are of the same text as the place before and among its first spare + `most`."""
+        inside = i < len(own)
+        i = i[inside]
+        return inside.nonzero()[0][(place[i] > 0) & (place[i] < spare[i] + most)]
+
+    def extend(members: tuple[np.ndarray, ...], frequent: np.ndarray) -> None:
+        add(*(m[~frequent] for m in members))
+        members = tuple(m[frequent] for m in members)
+        step = 1
+        while len(members[0]):
+            # a text's places follow one another, so one that has no next has none after it
+            go = later(members[-1] + step, base + 1)
+            members = tuple(m[go] for m in members)
+            add(*members, members[-1] + step)
+            step += 1
+
+    one = np.flatnonzero(place < spare + base)
+    if base == 1:
+        extend((one,), count[one] ** 2 > total)
+    else:
+        step = 1
+        while len(one):
+            one = one[later(one + step, base)]
+            extend((one, one + step), count[one] * count[one + step] > total)
+            step += 1
+    return np.concatenate(out), np.concatenate(who)
+
+
 def seed_filter(found: DataFrame) -> np.ndarray:
     """Bit map of the seeds of `found`, of FILTER_BITS bits at any size: a seed whose bit is not set is not among them."""
     place = F.expr(f"cast(shiftright(sig & {FILTER_BITS - 1}, 6) as int)")
@@ -136,6 +195,12 @@ def class_seeds(classes: DataFrame, counters: np.ndarray, among: np.ndarray | No
                 long_enough = size[who] >= 10
                 sigs, whos = [sig[long_enough]], [who[long_enough]]
                 first = np.concatenate([[0], np.cumsum(size)])
+                # the partner of a text of more than SHORT words may be a fifth shorter
+                for low, high, base in ((SHORT + 1 - (SHORT + 1) // TOLERANCE, PAIRED, 2), (PAIRED + 1 - (PAIRED + 1) // TOLERANCE, None, 1)):
+                    among_them = (size[owner] >= low) & (size[owner] <= (high or size[owner]))
+                    mark, of = rarest_marks(words[among_them], owner[among_them], table.value, base)
+                    sigs.append(mark)
+                    whos.append(of)
                 for i in np.flatnonzero((size <= SHORT) & (size >= TOLERANCE - 1)).tolist():
                     extra = left_overs(words[first[i] : first[i + 1]])
                     sigs.append(np.array(extra, np.uint64))

@@ -65,3 +65,53 @@ def test_left_overs_meet():
     a = np.array([1, 2, 3, 4, 5], np.uint64)
     b = np.array([1, 2, 9, 4, 5], np.uint64)
     assert set(left_overs(a)) & set(left_overs(b)) and not set(left_overs(a)) & set(left_overs(np.array([1, 8, 9, 4, 5], np.uint64)))
+
+
+def test_changed_words_that_winnowing_selects(spark):
+    rng = random.Random(11)
+    common = [f"c{i}" for i in range(16)]
+    rows = [(i, " ".join(rng.sample(common, 15)), "train") for i in range(40)]
+    # every fifth word is the rarest of its windows and differs, so no three selected words are the same
+    for pair in range(10):
+        kept = rng.sample(common, 16)
+        for side, split in enumerate(("train", "test")):
+            text = [f"rare{pair}x{side}x{k // 4}" if k % 5 == 2 else kept[k - (k + 2) // 5] for k in range(20)]
+            rows.append((100 + 2 * pair + side, " ".join(text), split))
+    df = spark.createDataFrame(rows, "rec_id bigint, text string, split string")
+    expected = {(i, j) for i, t, s in rows for j, u, v in rows if s == "train" and v == "test" and near(t.split(), u.split())}
+    assert {(r["rec_id_a"], r["rec_id_b"]) for r in cross_split_pairs(df).collect()} == expected and len(expected) == 10
+
+
+def test_rarest_marks_meet_within_tolerance():
+    import numpy as np
+
+    from ravand.llm.overlap import COUNTERS, rarest_marks
+
+    rng = random.Random(13)
+    common, rare = range(1, 30), range(1000, 9000)
+    counters = np.ones(COUNTERS, np.int64)
+    counters[1:30] = 5000
+    a, b = [], []
+    for _ in range(400):
+        x = [rng.choice(common if rng.random() < 0.8 else rare) for _ in range(rng.randint(15, 150))]
+        y = list(x)
+        for _ in range(len(x) // 5):
+            z, k = list(y), rng.randrange(len(y))
+            change = rng.choice("sadm")
+            if change == "s":
+                z[k] = rng.choice(rare)
+            elif change == "a":
+                z.insert(k, rng.choice(common))
+            elif change == "d":
+                del z[k]
+            else:
+                z.insert(rng.randrange(len(z)), z.pop(k))
+            y = z if near(x, z) else y
+        a.append(x)
+        b.append(y)
+    for base in (1, 2):
+        found = []
+        for texts in (a, b):
+            sig, who = rarest_marks(np.array([w for t in texts for w in t], np.uint64), np.repeat(np.arange(len(texts)), [len(t) for t in texts]), counters, base)
+            found.append(set(zip(sig.tolist(), who.tolist(), strict=True)))
+        assert {w for _, w in found[0] & found[1]} == set(range(len(a)))
