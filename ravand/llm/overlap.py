@@ -1,26 +1,32 @@
 """Same or near-same records across splits, by winnowing fingerprints.
 
 Texts are word-hash sequences in the normal form of lookalikes.py, without case, marks and punctuation; exact
-copies form one class and only classes are compared. Of every WINDOW words the one that is rarest in the whole
-corpus is selected (winnowing with minima by corpus frequency, ties by hash); rolling hashes over three selected
-words, one of which may be skipped, are the seeds that join the classes of one split with those of the others.
-Winnowing alone may miss a pair whose changes fall on the selected words, so every text also has exact marks. Texts
-of up to SHORT words are joined on the hashes of what is left when one or two words are dropped. Longer ones are
-joined on their rarest words (`rarest_marks`): texts within tolerance share so many words in order that some two or
-three of the rarest of one are among the rarest of the other, in the same order. A pair of classes is kept if its chain of collinear word matches,
-extended by alignment over the whole texts, leaves at most a fifth of the longer text's words.
-
-Corpus frequencies are counted over all rows in a table of fixed size (2^18 counters), so what is broadcast has
-a bound. Word-set bit maps that travel with the seeds dismiss most chance meetings before any text is read; the
-test is a necessary condition, so it dismisses no true pair.
-
-Defined cases: null and blank texts, texts without a letter or digit and records without a known split are no
-case; repeated rows are records of their own; other columns of the input don't matter.
+copies form one class and only classes are compared.
+
+1. Rolling hashes cover every two words in a row. Of every window of them the minimum is selected; minima are
+   ordered by how often the hash stands in the corpus, ties by the hash (otherwise template phrases would be the
+   minima and join almost everything). A window follows from the longest run of words that a partner within
+   tolerance must share (`window`), so a pair shares a minimum wherever words were changed, added or dropped.
+2. A minimum is a seed with its place. One that is common in the corpus (over COMMON) is a seed only together
+   with each of the next CHAINED common ones, and, in texts where one word may differ, with each of the two rarest
+   other words. All this rests on the text alone, so both sides do the same.
+3. A seed that many evaluation classes hold (HOT) would meet them all. It is joined together with each of the
+   rarest distinct other words of the text, one more than words may differ: of texts within tolerance that share
+   the seed, the rarest word they share is among those of both, so no pair is lost.
+4. Seeds of the two sides are joined. A meeting stays if lengths, places and 64-bit word maps allow a near text;
+   the test is a necessary condition. The seeds of a pair are chained collinearly, and the chain is extended by
+   alignment of what lies between. A pair is kept if at most a fifth of the longer text's words is left.
+
+Counters, the filter of evaluation seeds and the list of hot seeds grow with the corpus up to a fixed size; beyond
+it they only save less work. Cost grows with the length of a text times the number of its hot seeds.
+
+Defined cases: null and blank texts, texts without a letter or digit, records without a known split or without
+an id are no case; repeated rows are records of their own; other columns of the input don't matter.
 """
 
 from __future__ import annotations
 
-import itertools
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,23 +36,22 @@ from pyspark.sql import functions as F
 
 from ravand.llm import codepoints as cp
 from ravand.llm.group_split import split_name
-from ravand.session import materialize, spread
-
-WINDOW = 3
-SHORT = 14
-COUNTERS = 1 << 18
-#: Up to so many words a text's rarest words are joined by pairs, beyond by single words: pairs grow with the square of the length.
-PAIRED = 125
-#: Bits of the filter of evaluation seeds: a bound of what is broadcast; a full filter only stops saving work.
-FILTER_BITS = 1 << 24
+from ravand.session import free, materialize, spread
+
 #: One word in so many may differ.
 TOLERANCE = 5
+#: Occurrences in the corpus beyond which a minimum alone is no seed, and with how many next ones it is chained.
+COMMON, CHAINED = 200, 3
+#: Evaluation classes beyond which a seed is hot.
+HOT = 200
+#: Bounds of what is broadcast: counters of words and rolling hashes, bits of the seed filter, hot seeds.
+MOST_COUNTERS, MOST_FILTER_BITS, MOST_HOT = 1 << 22, 1 << 28, 1 << 20
 
 
 def word_sequences(df: DataFrame, keep: list[str], text: str) -> DataFrame:
-    """`keep` with words array<bigint> and (k1, k2), a hash of the sequence; rows without words are left out."""
+    """`keep` with words array<int> (hashes) and (k1, k2), a hash of the sequence; rows without words are left out."""
     fields = df.select(*keep).schema
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", k1 bigint, k2 bigint, words array<bigint>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", k1 bigint, k2 bigint, words array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,7 +66,7 @@ def word_sequences(df: DataFrame, keep: list[str], text: str) -> DataFrame:
                         mixed = cp.mix(hashes + place * np.uint64(0x9E3779B97F4A7C15) + salt)
                         total = np.concatenate([[np.uint64(0)], np.cumsum(mixed, dtype=np.uint64)])
                         keys.append(pa.array(cp.mix(total[first[1:]] - total[first[:-1]]).view(np.int64)))
-                words = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes.view(np.int64)))
+                words = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)))
                 some = pa.array(size > 0)
                 columns = [*(c.slice(a, b - a) for c in batch.columns[: len(keep)]), *keys, words]
                 yield pa.RecordBatch.from_arrays([c.filter(some) for c in columns], names=[*keep, "k1", "k2", "words"])
@@ -69,161 +74,219 @@ def word_sequences(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     return spread(df.select(*keep, F.col(f"`{text}`").alias("__text")).where("__text is not null")).mapInArrow(run, schema)
 
 
-def word_counters(sequences: DataFrame) -> np.ndarray:
-    """Occurrences of words in the whole corpus, by counter; the table has COUNTERS entries at any size."""
-    counted = sequences.select(F.explode("words").alias("w")).groupBy(F.pmod("w", F.lit(COUNTERS)).cast("int").alias("i")).agg(F.count(F.lit(1)).alias("n")).toPandas()
-    out = np.zeros(COUNTERS, np.int64)
-    out[counted["i"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-    return out
+def window(n: np.ndarray) -> np.ndarray:
+    """Rolling hashes in a window, for texts of n words.
+
+    A text of m words of which m // TOLERANCE differ keeps a run of 2 words at least for m = 5, of 3 for m up
+    to 15, of 4 beyond; a partner may have a fourth more words.
+    """
+    return np.where(n < 6, 1, np.where(n < 16, 2, 3))
+
+
+def rolling(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every two words in a row, place of the first) within texts."""
+    at = np.flatnonzero(owner[1:] == owner[:-1]) if len(words) else np.zeros(0, np.int64)
+    with np.errstate(over="ignore"):
+        return cp.mix(cp.mix(words[at] * np.uint64(3)) + words[at + 1] * np.uint64(5)), at
+
 
+def slots(hashes: np.ndarray, size: int) -> np.ndarray:
+    return (hashes & np.uint64(size - 1)).astype(np.int64)
 
-def winnow(words: np.ndarray, owner: np.ndarray, counters: np.ndarray) -> np.ndarray:
-    """Places of the selected words: the rarest of every window of WINDOW words of a text."""
-    if len(words) < WINDOW:
+
+def winnow(grams: np.ndarray, owner: np.ndarray, width: np.ndarray, counters: np.ndarray) -> np.ndarray:
+    """Numbers of the selected rolling hashes: the minimum of every window; a text shorter than a window is one."""
+    if not len(grams):
         return np.zeros(0, np.int64)
-    rarity = np.minimum(counters[words.astype(np.int64) % COUNTERS], (1 << 30) - 1).astype(np.uint64) << np.uint64(34) | cp.mix(words) >> np.uint64(30)
-    last = len(words) - WINDOW + 1
-    views = np.stack([rarity[k : k + last] for k in range(WINDOW)])
-    whole = owner[:last] == owner[WINDOW - 1 :]
-    chosen = (np.arange(last) + views.argmin(axis=0))[whole]
-    return np.unique(chosen)
-
-
-def seeds(words: np.ndarray, owner: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, owner) of every three selected words in a row, also with one left out between them."""
-    out, who = [], []
-    h, o = cp.mix(words[chosen]), owner[chosen]
-    for _, b, c in ((0, 1, 2), (0, 2, 3), (0, 1, 3)):
-        n = len(h) - c
-        if n > 0:
-            with np.errstate(over="ignore"):
-                mixed = cp.mix(h[:n] * np.uint64(3) + cp.mix(h[b : b + n] * np.uint64(5) + cp.mix(h[c:] * np.uint64(7))))
-            same = o[:n] == o[c:]
-            out.append(mixed[same])
-            who.append(o[:n][same])
-    if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(out), np.concatenate(who)
-
-
-def left_overs(words: np.ndarray) -> list[int]:
-    """Hashes of the words of a short text as a bag, whole and with one or (from ten words) two dropped."""
-    hashes = [int(x) for x in cp.mix(words + np.uint64(1))]
-    most = min(len(hashes) // TOLERANCE + (len(hashes) % TOLERANCE == TOLERANCE - 1), 2)
-    total = sum(hashes)
-    return list({(total - sum(drop)) % 2**64 for k in range(most + 1) for drop in itertools.combinations(hashes, k)})
-
-
-def rarest_marks(words: np.ndarray, owner: np.ndarray, counters: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, owner) of every `base` of the rarest words of a text, in text order; two texts within tolerance share one.
-
-    Of n words at most n // TOLERANCE lie outside the common chain, so in order of rarity the first k words of the
-    chain are among the first n // TOLERANCE + k words of either text. Where words are so frequent that chance
-    would bring them together, one more word is added; that rests on the words alone, so both texts do the same.
+    order = np.minimum(counters[slots(grams, len(counters))], (1 << 30) - 1).astype(np.uint64) << np.uint64(34) | cp.mix(grams) >> np.uint64(30)
+    count = np.bincount(owner)[owner]
+    width = np.minimum(width[owner], count)
+    chosen = []
+    for w in (1, 2, 3):
+        last = len(grams) - w + 1
+        if last > 0:
+            whole = (width[:last] == w) & (owner[:last] == owner[w - 1 :])
+            views = np.stack([order[k : k + last] for k in range(w)])
+            chosen.append((np.arange(last) + views.argmin(axis=0))[whole])
+    return np.unique(np.concatenate(chosen))
+
+
+def rare_words(words: np.ndarray, owner: np.ndarray, counters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct words of each text from the rarest on, first of each text)."""
+    n = int(owner[-1]) + 1 if len(owner) else 0
+    order = np.lexsort((words, counters[slots(cp.mix(words), len(counters))], owner))
+    w, o = words[order], owner[order]
+    once = np.ones(len(w), bool)
+    once[1:] = (w[1:] != w[:-1]) | (o[1:] != o[:-1])
+    w, o = w[once], o[once]
+    return w, np.searchsorted(o, np.arange(n + 1))
+
+
+def with_rare_words(sig: np.ndarray, who: np.ndarray, inner: np.ndarray, most: np.ndarray, rare: np.ndarray, first: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seed number, hash, word) of each seed with each of the `most` rarest words of its text that are not among its own, `inner`.
+
+    A text that has fewer is one in which none of them may be shared: the seed alone stands for it as well.
+    """
+    width = inner.shape[1]
+    begin, total = first[who], first[who + 1] - first[who]
+    reach = np.minimum(most + width, total)
+    ends = np.cumsum(reach)
+    row = np.repeat(np.arange(len(sig)), reach)
+    place = np.arange(len(row)) - np.repeat(ends - reach, reach)
+    word = rare[begin[row] + place]
+    fresh = ~(inner[row] == word[:, None]).any(axis=1)
+    rank = np.cumsum(fresh)
+    before = np.concatenate([[0], rank])[ends - reach]
+    fresh &= rank - before[row] <= most[row]
+    found = np.bincount(row[fresh], minlength=len(sig))
+    alone = np.flatnonzero(found < most)
+    with np.errstate(over="ignore"):
+        out = cp.mix(sig[row[fresh]] * np.uint64(7) + cp.mix(word[fresh] + np.uint64(salt)))
+        single = cp.mix(sig[alone] * np.uint64(7) + np.uint64(salt + 1))
+    return np.concatenate([row[fresh], alone]), np.concatenate([out, single]), np.concatenate([word[fresh], inner[alone, 0]])
+
+
+def text_seeds(words: np.ndarray, owner: np.ndarray, size: np.ndarray, counters: np.ndarray, hot: np.ndarray, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, place in the text) of the seeds of texts, without those that the bit map `among` rules out.
+
+    `hot` are the hashes, sorted, that are joined with rare words.
     """
-    count = counters[words.astype(np.int64) % COUNTERS]
-    at = np.lexsort((words, count, owner))  # stable: equal words by place
-    count, own = count[at], owner[at]
-    first = np.searchsorted(own, own)
-    place = np.arange(len(own)) - first
-    spare = np.bincount(own)[own] // TOLERANCE if len(own) else own
-    keep = place < spare + base + 1
-    at, count, own, place, spare = at[keep], count[keep].astype(float), own[keep], place[keep], spare[keep]
-    total = float(counters.sum())
-    out, who = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-
-    def add(*members: np.ndarray) -> None:
-        h = np.full(len(members[0]), 0xA5 + len(members), np.uint64)
+    grams, at = rolling(words, owner)
+    chosen = winnow(grams, owner[at], window(size), counters)
+    grams, at = grams[chosen], at[chosen]
+    who = owner[at]
+    first = np.concatenate([[0], np.cumsum(size)])
+    common = counters[slots(grams, len(counters))] > COMMON
+    pairs_of = np.stack([words[at], words[at + 1]], axis=1) if len(at) else np.zeros((0, 2), np.uint64)
+    sigs, texts, places, inner = [grams[~common]], [who[~common]], [at[~common]], [np.repeat(pairs_of[~common], 2, axis=1)]
+    g, o, a, p = grams[common], who[common], at[common], pairs_of[common]
+    for step in range(1, CHAINED + 1):
+        same = np.flatnonzero(o[step:] == o[:-step]) if len(o) > step else np.zeros(0, np.int64)
         with np.errstate(over="ignore"):
-            for x in np.sort(np.stack([at[m] for m in members]), axis=0):
-                h = cp.mix(h * np.uint64(3) + cp.mix(words[x]))
-        out.append(h)
-        who.append(own[members[0]])
-
-    def later(i: np.ndarray, most: int) -> np.ndarray:
-        """Those of the places `i` that are of the same text as the place before and among its first spare + `most`."""
-        inside = i < len(own)
-        i = i[inside]
-        return inside.nonzero()[0][(place[i] > 0) & (place[i] < spare[i] + most)]
-
-    def extend(members: tuple[np.ndarray, ...], frequent: np.ndarray) -> None:
-        add(*(m[~frequent] for m in members))
-        members = tuple(m[frequent] for m in members)
-        step = 1
-        while len(members[0]):
-            # a text's places follow one another, so one that has no next has none after it
-            go = later(members[-1] + step, base + 1)
-            members = tuple(m[go] for m in members)
-            add(*members, members[-1] + step)
-            step += 1
-
-    one = np.flatnonzero(place < spare + base)
-    if base == 1:
-        extend((one,), count[one] ** 2 > total)
-    else:
-        step = 1
-        while len(one):
-            one = one[later(one + step, base)]
-            extend((one, one + step), count[one] * count[one + step] > total)
-            step += 1
-    return np.concatenate(out), np.concatenate(who)
-
-
-def seed_filter(found: DataFrame) -> np.ndarray:
-    """Bit map of the seeds of `found`, of FILTER_BITS bits at any size: a seed whose bit is not set is not among them."""
-    place = F.expr(f"cast(shiftright(sig & {FILTER_BITS - 1}, 6) as int)")
-    words = found.groupBy(place.alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(sig & 63 as int))")).alias("w")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+            sigs.append(cp.mix(g[same] * np.uint64(3) + cp.mix(g[same + step] * np.uint64(5))))
+        texts.append(o[same])
+        places.append(a[same])
+        inner.append(np.concatenate([p[same], p[same + step]], axis=1))
+    few = np.flatnonzero(size[o] < 2 * TOLERANCE)
+    rare = rare_words(words, owner, counters) if len(few) or len(hot) else None
+    if len(few):
+        number, h, word = with_rare_words(g[few], o[few], p[few], np.full(len(few), 2), *rare, 31)
+        sigs.append(h)
+        texts.append(o[few][number])
+        places.append(a[few][number])
+        inner.append(np.concatenate([p[few][number], word[:, None], word[:, None]], axis=1))
+    sig, text, place, inside = (np.concatenate(x) for x in (sigs, texts, places, inner))
+    if among is not None:
+        low = sig & np.uint64(len(among) * 64 - 1)
+        may = (among[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
+        sig, text, place, inside = sig[may], text[may], place[may], inside[may]
+    if len(hot) and len(sig):
+        near = np.minimum(np.searchsorted(hot, sig), len(hot) - 1)
+        is_hot = np.flatnonzero(hot[near] == sig)
+        if len(is_hot):
+            number, h, _ = with_rare_words(sig[is_hot], text[is_hot], inside[is_hot], size[text[is_hot]] // TOLERANCE + 1, *rare, 57)
+            cool = np.ones(len(sig), bool)
+            cool[is_hot] = False
+            sig, text, place = np.concatenate([sig[cool], h]), np.concatenate([text[cool], text[is_hot][number]]), np.concatenate([place[cool], place[is_hot][number]])
+    return sig, text, place - first[text]
+
+
+def _batches(batches: Iterator[pa.RecordBatch], most: int = 100_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of (cid, words) batches of about `most` words, with words, text index and sizes."""
+    for whole in batches:
+        sizes = np.asarray(whole.column(1).value_lengths().to_numpy(zero_copy_only=False), np.int64)
+        block = np.cumsum(sizes) // most
+        cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(sizes)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b:
+                part = whole.slice(a, b - a)
+                words = part.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64)
+                yield part, words, np.repeat(np.arange(b - a), sizes[a:b]), sizes[a:b]
+
+
+def _power_of_two(n: int, least: int, most: int) -> int:
+    return max(least, min(most, 1 << max(n - 1, 1).bit_length()))
+
+
+def word_counters(classes: DataFrame, size: int) -> np.ndarray:
+    """How often words and rolling hashes stand in the texts of `classes`, by counter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(size, np.int64)
+        for _, words, owner, _ in _batches(batches, 1_000_000):
+            table += np.bincount(slots(cp.mix(words), size), minlength=size)
+            table += np.bincount(slots(rolling(words, owner)[0], size), minlength=size)
+        some = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(table[some])], names=["i", "n"])
+
+    counted = classes.select("cid", "words").mapInArrow(run, "i int, n bigint").groupBy("i").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
+    out = np.ones(size, np.int64)
+    out[counted["i"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    return out
+
+
+def seed_filter(seeds: DataFrame, bits: int) -> np.ndarray:
+    """Bit map of the hashes of `seeds`: one whose bit is not set is not among them."""
+    place = F.expr(f"cast(shiftright(sig & {bits - 1}L, 6) as int)")
+    words = seeds.groupBy(place.alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(sig & 63 as int))")).alias("w")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
     out[words["i"].to_numpy(np.int64)] = words["w"].to_numpy(np.int64)
     return out.view(np.uint64)
 
 
-def class_seeds(classes: DataFrame, counters: np.ndarray, among: np.ndarray | None = None) -> DataFrame:
-    """(sig, cid, n, b1, b2) for every seed of every class, without those that `among` rules out."""
-    table = classes.sparkSession.sparkContext.broadcast(counters)
-    wanted = classes.sparkSession.sparkContext.broadcast(among)
+def class_seeds(classes: DataFrame, counters: np.ndarray, hot: np.ndarray | None = None, among: np.ndarray | None = None) -> DataFrame:
+    """(sig, cid, n, lo, hi, map) for every seed of every class, without those that `among` rules out; lo and hi are its first and last place."""
+    context = classes.sparkSession.sparkContext
+    given = context.broadcast((counters, np.zeros(0, np.uint64) if hot is None else hot, among))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 5000):
-                batch = whole.slice(at, 5000)
-                lists = batch.column(1)
-                words = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                size = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
-                owner = np.repeat(np.arange(len(size)), size)
-                sig, who = seeds(words, owner, winnow(words, owner, table.value))
-                long_enough = size[who] >= 10
-                sigs, whos = [sig[long_enough]], [who[long_enough]]
-                first = np.concatenate([[0], np.cumsum(size)])
-                # the partner of a text of more than SHORT words may be a fifth shorter
-                for low, high, base in ((SHORT + 1 - (SHORT + 1) // TOLERANCE, PAIRED, 2), (PAIRED + 1 - (PAIRED + 1) // TOLERANCE, None, 1)):
-                    among_them = (size[owner] >= low) & (size[owner] <= (high or size[owner]))
-                    mark, of = rarest_marks(words[among_them], owner[among_them], table.value, base)
-                    sigs.append(mark)
-                    whos.append(of)
-                for i in np.flatnonzero((size <= SHORT) & (size >= TOLERANCE - 1)).tolist():
-                    extra = left_overs(words[first[i] : first[i + 1]])
-                    sigs.append(np.array(extra, np.uint64))
-                    whos.append(np.full(len(extra), i))
-                sig, who = np.concatenate(sigs), np.concatenate(whos).astype(np.int64)
-                if wanted.value is not None:
-                    low = sig & np.uint64(FILTER_BITS - 1)
-                    may = (wanted.value[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
-                    sig, who = sig[may], who[may]
-                once = np.unique(np.stack([sig, who.astype(np.uint64)], axis=1), axis=0) if len(sig) else np.zeros((0, 2), np.uint64)
-                sig, who = once[:, 0], once[:, 1].astype(np.int64)
-                bit = (cp.mix(words + np.uint64(77)) >> np.uint64(57)).astype(np.uint64)
-                one = np.uint64(1)
-                maps = [np.bitwise_or.reduceat(np.where(bit // np.uint64(64) == half, one << (bit % np.uint64(64)), np.uint64(0)), first[:-1]).view(np.int64) if len(words) else np.zeros(0, np.int64) for half in (0, 1)]
-                pick = pa.array(who)
-                columns = [pa.array(sig.view(np.int64)), batch.column(0).take(pick), pa.array(size[who].astype(np.int32)), *(pa.array(m[who]) for m in maps)]
-                yield pa.RecordBatch.from_arrays(columns, names=["sig", "cid", "n", "b1", "b2"])
-
-    return spread(classes.select("cid", "words")).mapInArrow(run, "sig bigint, cid bigint, n int, b1 bigint, b2 bigint")
+        table, refined, wanted = given.value
+        for batch, words, owner, size in _batches(batches):
+            sig, who, place = text_seeds(words, owner, size, table, refined, wanted)
+            order = np.lexsort((place, sig, who))
+            sig, who, place = sig[order], who[order], place[order]
+            begins = np.ones(len(sig), bool)
+            begins[1:] = (sig[1:] != sig[:-1]) | (who[1:] != who[:-1])
+            lo = np.flatnonzero(begins)
+            hi = np.append(lo[1:], len(sig)) - 1
+            first = np.concatenate([[0], np.cumsum(size)])
+            bit = np.uint64(1) << (cp.mix(words + np.uint64(77)) >> np.uint64(58))
+            maps = np.zeros(len(size), np.uint64)
+            some = size > 0
+            if len(words):
+                maps[some] = np.bitwise_or.reduceat(bit, first[:-1][some])
+            own = who[lo]
+            columns = [pa.array(sig[lo].view(np.int64)), batch.column(0).take(pa.array(own)), *(pa.array(x.astype(np.int32)) for x in (size[own], place[lo], place[hi])), pa.array(maps[own].view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["sig", "cid", "n", "lo", "hi", "map"])
+
+    return classes.select("cid", "words").mapInArrow(run, "sig bigint, cid bigint, n int, lo int, hi int, map bigint")
+
+
+def chain(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest chain of seed hits (place, place) that go forward in both texts."""
+    hits = sorted(set(hits), key=lambda h: (h[0], -h[1]))
+    tails: list[int] = []
+    heads: list[int] = []
+    back: list[int] = []
+    for k, (_, b) in enumerate(hits):
+        at = bisect_left(tails, b)
+        back.append(heads[at - 1] if at else -1)
+        if at == len(tails):
+            tails.append(b)
+            heads.append(k)
+        else:
+            tails[at], heads[at] = b, k
+    out, k = [], heads[-1] if heads else -1
+    while k >= 0:
+        out.append(hits[k])
+        k = back[k]
+    return out[::-1]
 
 
 def chain_length(a: list[int], b: list[int]) -> int:
     """Length of the longest collinear chain of equal words of two texts (bit-parallel alignment)."""
+    if not a or not b:
+        return 0
     places: dict[int, int] = {}
     for i, w in enumerate(a):
         places[w] = places.get(w, 0) | 1 << i
@@ -235,62 +298,118 @@ def chain_length(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
+def extended(a: list[int], b: list[int], seeds: list[tuple[int, int]]) -> int:
+    """Words matched by the chain of `seeds`, each extended as far as words agree, with alignment of what lies between."""
+    matched = x = y = 0
+    for p, q in seeds:
+        if p < x or q < y:
+            continue
+        matched += chain_length(a[x:p], b[y:q])
+        x, y = p, q
+        while x < len(a) and y < len(b) and a[x] == b[y]:
+            x, y, matched = x + 1, y + 1, matched + 1
+    return matched + chain_length(a[x:], b[y:])
+
+
 def aligned(pairs: DataFrame) -> DataFrame:
-    """Of (ca, cb, wa, wb) the pairs within tolerance: (ca, cb, matched, na, nb)."""
+    """Of (ca, cb, hits, wa, wb) the pairs within tolerance: (ca, cb, matched, na, nb).
+
+    Where the chain of seeds leaves too much, the whole texts are aligned, as an exact check.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ca, cb, kept = [], [], []
-            for x, y, wa, wb in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                matched = chain_length(wa, wb)
-                if (max(len(wa), len(wb)) - matched) * TOLERANCE <= max(len(wa), len(wb)):
+            for x, y, hits, wa, wb in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                most = max(len(wa), len(wb))
+                matched = extended(wa, wb, chain([(h["a"], h["b"]) for h in hits]))
+                if (most - matched) * TOLERANCE > most:
+                    matched = chain_length(wa, wb)
+                if (most - matched) * TOLERANCE <= most:
                     ca.append(x)
                     cb.append(y)
                     kept.append((matched, len(wa), len(wb)))
             counts = [pa.array([k[i] for k in kept], pa.int32()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([pa.array(ca, pa.int64()), pa.array(cb, pa.int64()), *counts], names=["ca", "cb", "matched", "na", "nb"])
 
-    return pairs.select("ca", "cb", "wa", "wb").mapInArrow(run, "ca bigint, cb bigint, matched int, na int, nb int")
+    return pairs.select("ca", "cb", "hits", "wa", "wb").mapInArrow(run, "ca bigint, cb bigint, matched int, na int, nb int")
 
 
 def _side(split: Column) -> Column:
     name = split_name(split)
-    return F.when(name == "train", F.lit("train")).when(name.isin("validation", "test"), F.lit("eval"))
+    return F.when(name == "train", True).when(name.isin("validation", "test"), False)
+
+
+#: Differences allowed between two texts, of their lengths and of the places of a seed in them.
+_FEW = f"(greatest(ta.n, tb.n) div {TOLERANCE})"
+NEAR = (
+    f"ta.cid <> tb.cid and abs(ta.n - tb.n) <= {_FEW} and bit_count(ta.map ^ tb.map) <= 2 * {_FEW} "
+    f"and ta.lo - tb.hi <= least(0, ta.n - tb.n) + {_FEW} and ta.hi - tb.lo >= greatest(0, ta.n - tb.n) - {_FEW}"
+)
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """(ca, cb, hits) of classes of train and evaluation records that share a seed where a near text may have it."""
+    spark = classes.sparkSession
+    n = classes.count()
+    counters = word_counters(classes, _power_of_two(4 * n, 1 << 16, MOST_COUNTERS))
+    train, held_out = classes.where("in_train"), classes.where("in_eval")
+    counts = materialize(class_seeds(held_out, counters).groupBy("sig").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") > max(HOT, total // MOST_HOT)).select("sig").toPandas()["sig"].to_numpy(np.int64).view(np.uint64)
+    among = seed_filter(counts, _power_of_two(16 * counts.count(), 1 << 16, MOST_FILTER_BITS))
+    free(counts)
+    # most train seeds meet no evaluation seed: the filter keeps them out of the shuffle
+    ta, tb = (class_seeds(side, counters, np.sort(hot), among) for side in (train, held_out))
+    meetings = ta.alias("ta").join(tb.alias("tb"), F.expr(f"ta.sig = tb.sig and {NEAR}")).selectExpr("ta.cid as ca", "tb.cid as cb", "ta.lo as a", "tb.lo as b")
+    return meetings.groupBy("ca", "cb").agg(F.collect_set(F.struct("a", "b")).alias("hits"))
 
 
 def cross_split_classes(df: DataFrame, row_id: str = "rec_id", text: str = "text", split: str = "split") -> tuple[DataFrame, DataFrame]:
-    """(members, links): members (rec_id, side, cid); links (ca, cb, matched, na, nb) of a class in train and one in evaluation.
+    """(members, links): links (ca, cb, matched, na, nb) of a class in train and one in evaluation, members (rec_id, in_train, cid) of those classes.
 
-    A class that is in both stands in links with itself.
+    A class that is in both stands in links with itself. Both are written tables.
     """
-    source = df.select(F.col(f"`{row_id}`").cast("bigint").alias("rec_id"), _side(F.col(f"`{split}`")).alias("side"), F.col(f"`{text}`").alias("text")).where("side is not null")
-    sequences = materialize(word_sequences(source, ["rec_id", "side"], "text"))
-    counters = word_counters(sequences)
-    classes = sequences.groupBy("k1", "k2").agg(F.min("rec_id").alias("cid"), F.bool_or(F.col("side") == "train").alias("in_train"), F.bool_or(F.col("side") == "eval").alias("in_eval"), F.first("words").alias("words"))
-    classes = materialize(classes)
-    members = sequences.select("rec_id", "side", "k1", "k2").join(classes.select("k1", "k2", "cid"), ["k1", "k2"]).select("rec_id", "side", "cid")
-    evaluation = class_seeds(classes.where("in_eval"), counters)
-    # most train seeds meet no evaluation seed: the filter keeps them out of the shuffle
-    t = class_seeds(classes.where("in_train"), counters, seed_filter(evaluation)).select("sig", F.col("cid").alias("ca"), F.col("n").alias("na"), F.col("b1").alias("a1"), F.col("b2").alias("a2"))
-    e = evaluation.select("sig", F.col("cid").alias("cb"), F.col("n").alias("nb"), "b1", "b2")
-    differ = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-    near = (F.col("ca") != F.col("cb")) & (differ <= 2 * F.floor(F.greatest("na", "nb") / F.lit(TOLERANCE)))
-    candidates = t.join(e, "sig").where(near).select("ca", "cb").distinct()
-    words = classes.select("cid", "words")
-    pairs = candidates.join(words.select(F.col("cid").alias("ca"), F.col("words").alias("wa")), "ca").join(words.select(F.col("cid").alias("cb"), F.col("words").alias("wb")), "cb")
-    same = classes.where("in_train and in_eval").select(F.col("cid").alias("ca"), F.col("cid").alias("cb"), F.size("words").alias("matched"), F.size("words").alias("na"), F.size("words").alias("nb"))
-    return members, aligned(pairs).unionByName(same)
+    source = df.select(F.col(f"`{row_id}`").cast("bigint").alias("rec_id"), _side(F.col(f"`{split}`")).alias("in_train"), F.col(f"`{text}`").alias("text")).where("in_train is not null and rec_id is not null")
+    sequences = materialize(word_sequences(source, ["rec_id", "in_train"], "text"))
+    classes = materialize(sequences.groupBy("k1", "k2").agg(F.min("rec_id").alias("cid"), F.bool_or("in_train").alias("in_train"), F.bool_or(~F.col("in_train")).alias("in_eval"), F.first("words").alias("words")))
+    met = materialize(candidates(classes))
+    needed = met.select(F.explode(F.array("ca", "cb")).alias("cid")).distinct()
+    texts = materialize(classes.select("cid", "words").join(needed, "cid", "left_semi"))
+    pairs = met.join(texts.select(F.col("cid").alias("ca"), F.col("words").alias("wa")), "ca").join(texts.select(F.col("cid").alias("cb"), F.col("words").alias("wb")), "cb")
+    same = classes.where("in_train and in_eval").select(F.col("cid").alias("ca"), F.col("cid").alias("cb"), *[F.size("words").alias(c) for c in ("matched", "na", "nb")])
+    links = materialize(aligned(spread(pairs)).unionByName(same))
+    linked = classes.select("k1", "k2", "cid").join(links.select(F.explode(F.array("ca", "cb")).alias("cid")).distinct(), "cid", "left_semi")
+    members = materialize(sequences.select("rec_id", "in_train", "k1", "k2").join(linked, ["k1", "k2"]).select("rec_id", "in_train", "cid"))
+    free(sequences, classes, met, texts)
+    return members, links
 
 
 def cross_split_pairs(df: DataFrame, row_id: str = "rec_id", text: str = "text", split: str = "split") -> DataFrame:
     """(rec_id_a, rec_id_b): every pair of a train and an evaluation record with same or near-same texts."""
     members, links = cross_split_classes(df, row_id, text, split)
-    links = materialize(links)
-    t = members.where("side = 'train'").select(F.col("cid").alias("ca"), F.col("rec_id").alias("rt"))
-    e = members.where("side = 'eval'").select(F.col("cid").alias("cb"), F.col("rec_id").alias("re"))
+    t = members.where("in_train").select(F.col("cid").alias("ca"), F.col("rec_id").alias("rt"))
+    e = members.where("not in_train").select(F.col("cid").alias("cb"), F.col("rec_id").alias("re"))
     return links.join(t, "ca").join(e, "cb").select(F.least("rt", "re").alias("rec_id_a"), F.greatest("rt", "re").alias("rec_id_b"))
 
 
+def _evaluation(df: DataFrame, row_id: str, split: str, dataset: str) -> DataFrame:
+    return df.select(F.col(f"`{row_id}`").cast("bigint").alias("rec_id"), split_name(F.col(f"`{split}`")).alias("split"), F.col(f"`{dataset}`").alias("dataset")).where("split in ('validation', 'test')")
+
+
+def record_coverage(df: DataFrame, row_id: str = "rec_id", text: str = "text", split: str = "split", dataset: str = "dataset") -> DataFrame:
+    """Per overlapping evaluation record and train dataset: (rec_id, split, dataset, train_dataset, n_train, n_same, coverage).
+
+    coverage is the best share of the record's words that lie in the chain with one train record of that dataset.
+    """
+    members, links = cross_split_classes(df, row_id, text, split)
+    sources = df.select(F.col(f"`{row_id}`").cast("bigint").alias("rec_id"), F.col(f"`{dataset}`").alias("train_dataset"))
+    held = members.where("in_train").join(sources, "rec_id").groupBy("cid", "train_dataset").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("cid", "ca")
+    best = links.join(held, "ca").groupBy("cb", "train_dataset").agg(F.sum("n").alias("n_train"), F.sum(F.when(F.col("ca") == F.col("cb"), F.col("n")).otherwise(0)).alias("n_same"), F.max(F.col("matched") / F.col("nb")).alias("coverage"))
+    own = members.where("not in_train").select("rec_id", F.col("cid").alias("cb")).join(_evaluation(df, row_id, split, dataset), "rec_id")
+    return own.join(best, "cb").select("rec_id", "split", "dataset", "train_dataset", "n_train", "n_same", "coverage")
+
+
 def overlap_report(df: DataFrame, row_id: str = "rec_id", text: str = "text", split: str = "split", dataset: str = "dataset") -> DataFrame:
     """Per split and dataset of the evaluation records: records, those that also stand in train, and how much of them.
 
@@ -299,10 +418,10 @@ def overlap_report(df: DataFrame, row_id: str = "rec_id", text: str = "text", sp
     """
     members, links = cross_split_classes(df, row_id, text, split)
     best = links.groupBy("cb").agg(F.max(F.col("matched") / F.col("nb")).alias("coverage"), F.bool_or(F.col("ca") == F.col("cb")).alias("same"))
-    found = members.where("side = 'eval'").join(best, F.col("cid") == F.col("cb")).select("rec_id", "coverage", "same")
-    records = df.select(F.col(f"`{row_id}`").cast("bigint").alias("rec_id"), split_name(F.col(f"`{split}`")).alias("split"), F.col(f"`{dataset}`").alias("dataset")).where("split in ('validation', 'test')")
+    found = members.where("not in_train").join(best, F.col("cid") == F.col("cb")).select("rec_id", "coverage", "same")
     return (
-        records.join(found, "rec_id", "left")
+        _evaluation(df, row_id, split, dataset)
+        .join(found, "rec_id", "left")
         .groupBy("split", "dataset")
         .agg(F.count(F.lit(1)).alias("n_records"), F.count("coverage").alias("n_overlapping"), F.count_if("same").alias("n_same"), F.avg("coverage").alias("mean_coverage"))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ravand.llm.group_split import assign_splits, spread_uids
 from ravand.llm.leakage import exact_leaks, leaked_passages
 from ravand.llm.lookalikes import lookalike_pairs, normalized_texts
-from ravand.llm.overlap import cross_split_pairs, overlap_report
+from ravand.llm.overlap import cross_split_pairs, overlap_report, record_coverage
 from ravand.llm.sentences import sentence_units
 from ravand.llm.tokenize import encode_corpus
 from ravand.llm.turns import speaker_turns, turn_lines
@@ -30,6 +30,10 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_report(_table(spark, sf_dir, "asr_manifest"))
 
 
+def p2_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return record_coverage(_table(spark, sf_dir, "asr_manifest"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread_uids(_table(spark, sf_dir, "asr_manifest"))
 
@@ -74,7 +78,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_assigned, p5_found, p5_lines, p6_found, p6_normalized, p7_ids, p8_found, p8_near, p9_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_report, p2_coverage, p3_found, p3_assigned, p5_found, p5_lines, p6_found, p6_normalized, p7_ids, p8_found, p8_near, p9_found)}
 _TRIM = "nullif(regexp_replace({}, '^[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+|[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+$', '', 'g'), '')"
 
 SQL: dict[str, str] = {

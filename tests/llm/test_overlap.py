@@ -1,6 +1,6 @@
 import random
 
-from ravand.llm.overlap import chain_length, cross_split_pairs, left_overs, overlap_report
+from ravand.llm.overlap import chain, chain_length, cross_split_pairs, extended, overlap_report, record_coverage
 
 
 def near(a, b):
@@ -59,14 +59,6 @@ def test_pairs_against_brute_force(spark):
     assert cross_split_pairs(df.where("false")).count() == 0
 
 
-def test_left_overs_meet():
-    import numpy as np
-
-    a = np.array([1, 2, 3, 4, 5], np.uint64)
-    b = np.array([1, 2, 9, 4, 5], np.uint64)
-    assert set(left_overs(a)) & set(left_overs(b)) and not set(left_overs(a)) & set(left_overs(np.array([1, 8, 9, 4, 5], np.uint64)))
-
-
 def test_changed_words_that_winnowing_selects(spark):
     rng = random.Random(11)
     common = [f"c{i}" for i in range(16)]
@@ -82,36 +74,80 @@ def test_changed_words_that_winnowing_selects(spark):
     assert {(r["rec_id_a"], r["rec_id_b"]) for r in cross_split_pairs(df).collect()} == expected and len(expected) == 10
 
 
-def test_rarest_marks_meet_within_tolerance():
+def changed(rng, text, vocabulary):
+    """`text` with as many words changed, added, dropped or moved at random as are allowed."""
+    out = list(text)
+    for _ in range(len(text) // 5):
+        new, k, kind = list(out), rng.randrange(len(out)), rng.choice("sadm")
+        if kind == "s":
+            new[k] = rng.choice(vocabulary)
+        elif kind == "a":
+            new.insert(k, rng.choice(vocabulary))
+        elif kind == "d" and len(new) > 1:
+            del new[k]
+        elif kind == "m":
+            new.insert(rng.randrange(len(new)), new.pop(k))
+        out = new if near(text, new) else out
+    return out
+
+
+def test_recall_at_the_limit():
+    """Texts of 3 to 60 words, all changes that are allowed, words by their frequency; common and hot seeds too."""
     import numpy as np
 
-    from ravand.llm.overlap import COUNTERS, rarest_marks
-
-    rng = random.Random(13)
-    common, rare = range(1, 30), range(1000, 9000)
-    counters = np.ones(COUNTERS, np.int64)
-    counters[1:30] = 5000
-    a, b = [], []
-    for _ in range(400):
-        x = [rng.choice(common if rng.random() < 0.8 else rare) for _ in range(rng.randint(15, 150))]
-        y = list(x)
-        for _ in range(len(x) // 5):
-            z, k = list(y), rng.randrange(len(y))
-            change = rng.choice("sadm")
-            if change == "s":
-                z[k] = rng.choice(rare)
-            elif change == "a":
-                z.insert(k, rng.choice(common))
-            elif change == "d":
-                del z[k]
-            else:
-                z.insert(rng.randrange(len(z)), z.pop(k))
-            y = z if near(x, z) else y
-        a.append(x)
-        b.append(y)
-    for base in (1, 2):
-        found = []
-        for texts in (a, b):
-            sig, who = rarest_marks(np.array([w for t in texts for w in t], np.uint64), np.repeat(np.arange(len(texts)), [len(t) for t in texts]), counters, base)
-            found.append(set(zip(sig.tolist(), who.tolist(), strict=True)))
-        assert {w for _, w in found[0] & found[1]} == set(range(len(a)))
+    from ravand.llm import codepoints as cp
+    from ravand.llm.overlap import COMMON, rolling, slots, text_seeds
+
+    rng = random.Random(5)
+    vocabulary = np.random.default_rng(5).integers(1, 2**32, 4000).tolist()
+    weights = [1 / (i + 5) for i in range(4000)]
+    for repeat in (1, 20):  # a small corpus, and one in which most rolling hashes are common
+        texts = [rng.choices(vocabulary, weights, k=rng.randint(3, 60)) for _ in range(3000)]
+        pairs = [(t, changed(rng, t, vocabulary)) for t in texts]
+        arrays = []
+        for side in range(2):
+            words = np.array([w for p in pairs for w in p[side]], np.uint64)
+            size = np.array([len(p[side]) for p in pairs])
+            arrays.append((words, np.repeat(np.arange(len(size)), size), size))
+        counters = np.ones(1 << 20, np.int64)
+        for words, owner, _ in arrays:
+            np.add.at(counters, slots(cp.mix(words), len(counters)), repeat)
+            np.add.at(counters, slots(rolling(words, owner)[0], len(counters)), repeat * (COMMON // 20))
+        plain = [text_seeds(*a, counters, np.zeros(0, np.uint64)) for a in arrays]
+        every = np.unique(plain[0][0])
+        for hot in (np.zeros(0, np.uint64), every, every[::2]):
+            found = [set(zip(s.tolist(), o.tolist(), strict=True)) for s, o, _ in (text_seeds(*a, counters, hot) for a in arrays)]
+            met = {o for _, o in found[0] & found[1]} | {i for i, (a, b) in enumerate(pairs) if a == b}
+            assert len(met) >= 0.99 * len(pairs), (repeat, len(hot), len(met))
+
+
+def test_chained_seeds():
+    a, b = [1, 2, 3, 4, 5, 6, 7, 8], [1, 2, 9, 4, 5, 7, 8, 6]
+    assert chain([(0, 0), (3, 3), (6, 5), (5, 7), (3, 3)]) == [(0, 0), (3, 3), (6, 5)]
+    assert chain([]) == [] and extended(a, b, []) == chain_length(a, b) == 6
+    assert extended(a, b, chain([(0, 0), (6, 5)])) == 6 and extended(a, b, [(5, 7)]) == 5
+
+
+def test_template_shared_by_many_records(spark):
+    rng = random.Random(3)
+    template = [f"t{i}" for i in range(12)]
+    rows = [(i, " ".join(template + rng.choices([f"w{k}" for k in range(5000)], k=12)), "dev" if i % 8 == 0 else "train") for i in range(12_000)]
+    planted = set()
+    for k in range(60):
+        base = rows[8 * k][1].split()
+        base[20 + k % 4] = "other"
+        rows.append((20_000 + k, " ".join(base), "train"))
+        planted.add((8 * k, 20_000 + k))
+    found = {tuple(r) for r in cross_split_pairs(spark.createDataFrame(rows, "rec_id bigint, text string, split string")).collect()}
+    assert planted <= found
+    words = {i: t.split() for i, t, _ in rows}
+    assert all(near(words[a], words[b]) for a, b in found)
+
+
+def test_repeated_words_and_nulls(spark):
+    long = " ".join(["na"] * 20_000)
+    rows = [(1, long, "train"), (2, long + " end", "test"), (3, "a b c", "train"), (4, "a b", "test"), (None, "a b c", "test"), (5, "a b c", None)]
+    df = spark.createDataFrame(rows, "rec_id bigint, text string, split string").selectExpr("*", "cast(null as string) as dataset")
+    assert [tuple(r) for r in cross_split_pairs(df).collect()] == [(1, 2)]
+    cover = record_coverage(df).collect()
+    assert len(cover) == 1 and cover[0]["rec_id"] == 2 and cover[0]["n_train"] == 1 and 0.99 < cover[0]["coverage"] < 1
