@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,7 +99,7 @@ def winnow(grams: np.ndarray, owner: np.ndarray, width: np.ndarray, counters: np
     """Numbers of the selected rolling hashes: the minimum of every window; a text shorter than a window is one."""
     if not len(grams):
         return np.zeros(0, np.int64)
-    order = np.minimum(counters[slots(grams, len(counters))], (1 << 30) - 1).astype(np.uint64) << np.uint64(34) | cp.mix(grams) >> np.uint64(30)
+    order = counters[slots(grams, len(counters))].astype(np.uint64) << np.uint64(48) | cp.mix(grams) >> np.uint64(16)
     count = np.bincount(owner)[owner]
     width = np.minimum(width[owner], count)
     chosen = []
@@ -208,8 +209,14 @@ def _power_of_two(n: int, least: int, most: int) -> int:
     return max(least, min(most, 1 << max(n - 1, 1).bit_length()))
 
 
+def rank_of(counts: np.ndarray) -> np.ndarray:
+    """Counts in two bytes each: exact up to 1,024, their logarithm beyond; the order stays."""
+    large = 1024 + 64 * np.log2(np.maximum(counts, 1024) / 1024)
+    return np.where(counts <= 1024, counts, large).astype(np.uint16)
+
+
 def word_counters(classes: DataFrame, size: int) -> np.ndarray:
-    """How often words and rolling hashes stand in the texts of `classes`, by counter."""
+    """How often words and rolling hashes stand in the texts of `classes`, by counter (`rank_of`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(size, np.int64)
@@ -220,8 +227,8 @@ def word_counters(classes: DataFrame, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(table[some])], names=["i", "n"])
 
     counted = classes.select("cid", "words").mapInArrow(run, "i int, n bigint").groupBy("i").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
-    out = np.ones(size, np.int64)
-    out[counted["i"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    out = np.ones(size, np.uint16)
+    out[counted["i"].to_numpy(np.int64)] = rank_of(counted["n"].to_numpy(np.int64))
     return out
 
 
@@ -234,13 +241,11 @@ def seed_filter(seeds: DataFrame, bits: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def class_seeds(classes: DataFrame, counters: np.ndarray, hot: np.ndarray | None = None, among: np.ndarray | None = None) -> DataFrame:
+def class_seeds(classes: DataFrame, counters: Broadcast, hot: Broadcast | None = None, among: Broadcast | None = None) -> DataFrame:
     """(sig, cid, n, lo, hi, map) for every seed of every class, without those that `among` rules out; lo and hi are its first and last place."""
-    context = classes.sparkSession.sparkContext
-    given = context.broadcast((counters, np.zeros(0, np.uint64) if hot is None else hot, among))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, refined, wanted = given.value
+        table, refined, wanted = counters.value, hot.value if hot else np.zeros(0, np.uint64), among.value if among else None
         for batch, words, owner, size in _batches(batches):
             sig, who, place = text_seeds(words, owner, size, table, refined, wanted)
             order = np.lexsort((place, sig, who))
@@ -349,20 +354,23 @@ NEAR = (
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """(ca, cb, hits) of classes of train and evaluation records that share a seed where a near text may have it."""
-    spark = classes.sparkSession
-    n = classes.count()
-    counters = word_counters(classes, _power_of_two(4 * n, 1 << 16, MOST_COUNTERS))
+    """(ca, cb, hits), a written table, of classes of train and evaluation records that share a seed where a near text may have it."""
+    context = classes.sparkSession.sparkContext
+    counters = context.broadcast(word_counters(classes, _power_of_two(4 * classes.count(), 1 << 16, MOST_COUNTERS)))
     train, held_out = classes.where("in_train"), classes.where("in_eval")
     counts = materialize(class_seeds(held_out, counters).groupBy("sig").agg(F.count(F.lit(1)).alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = counts.where(F.col("n") > max(HOT, total // MOST_HOT)).select("sig").toPandas()["sig"].to_numpy(np.int64).view(np.uint64)
-    among = seed_filter(counts, _power_of_two(16 * counts.count(), 1 << 16, MOST_FILTER_BITS))
-    free(counts)
+    total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
+    hot = counts.where(F.col("n") > max(HOT, (total or 0) // MOST_HOT)).select("sig").toPandas()["sig"].to_numpy(np.int64).view(np.uint64)
+    hot = context.broadcast(np.sort(hot))
+    among = context.broadcast(seed_filter(counts, _power_of_two(16 * distinct, 1 << 16, MOST_FILTER_BITS)))
     # most train seeds meet no evaluation seed: the filter keeps them out of the shuffle
-    ta, tb = (class_seeds(side, counters, np.sort(hot), among) for side in (train, held_out))
+    ta, tb = (class_seeds(side, counters, hot, among) for side in (train, held_out))
     meetings = ta.alias("ta").join(tb.alias("tb"), F.expr(f"ta.sig = tb.sig and {NEAR}")).selectExpr("ta.cid as ca", "tb.cid as cb", "ta.lo as a", "tb.lo as b")
-    return meetings.groupBy("ca", "cb").agg(F.collect_set(F.struct("a", "b")).alias("hits"))
+    met = materialize(meetings.groupBy("ca", "cb").agg(F.collect_set(F.struct("a", "b")).alias("hits")))
+    free(counts)
+    for given in (counters, hot, among):
+        given.destroy()
+    return met
 
 
 def cross_split_classes(df: DataFrame, row_id: str = "rec_id", text: str = "text", split: str = "split") -> tuple[DataFrame, DataFrame]:
@@ -373,7 +381,7 @@ def cross_split_classes(df: DataFrame, row_id: str = "rec_id", text: str = "text
     source = df.select(F.col(f"`{row_id}`").cast("bigint").alias("rec_id"), _side(F.col(f"`{split}`")).alias("in_train"), F.col(f"`{text}`").alias("text")).where("in_train is not null and rec_id is not null")
     sequences = materialize(word_sequences(source, ["rec_id", "in_train"], "text"))
     classes = materialize(sequences.groupBy("k1", "k2").agg(F.min("rec_id").alias("cid"), F.bool_or("in_train").alias("in_train"), F.bool_or(~F.col("in_train")).alias("in_eval"), F.first("words").alias("words")))
-    met = materialize(candidates(classes))
+    met = candidates(classes)
     needed = met.select(F.explode(F.array("ca", "cb")).alias("cid")).distinct()
     texts = materialize(classes.select("cid", "words").join(needed, "cid", "left_semi"))
     pairs = met.join(texts.select(F.col("cid").alias("ca"), F.col("words").alias("wa")), "ca").join(texts.select(F.col("cid").alias("cb"), F.col("words").alias("wb")), "cb")
