@@ -50,7 +50,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/ravand-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     _written[path] = spark
     out = spark.read.parquet(path)
     out._ravand_path = path
