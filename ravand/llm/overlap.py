@@ -50,9 +50,9 @@ MOST_COUNTERS, MOST_FILTER_BITS, MOST_HOT = 1 << 22, 1 << 28, 1 << 20
 
 
 def word_sequences(df: DataFrame, keep: list[str], text: str) -> DataFrame:
-    """`keep` with words array<int> (hashes) and (k1, k2), a hash of the sequence; rows without words are left out."""
+    """`keep` with words (hashes of 32 bits, packed: far cheaper to move than an array) and (k1, k2), a hash of the sequence; rows without words are left out."""
     fields = df.select(*keep).schema
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", k1 bigint, k2 bigint, words array<int>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", k1 bigint, k2 bigint, words binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,7 +67,8 @@ def word_sequences(df: DataFrame, keep: list[str], text: str) -> DataFrame:
                         mixed = cp.mix(hashes + place * np.uint64(0x9E3779B97F4A7C15) + salt)
                         total = np.concatenate([[np.uint64(0)], np.cumsum(mixed, dtype=np.uint64)])
                         keys.append(pa.array(cp.mix(total[first[1:]] - total[first[:-1]]).view(np.int64)))
-                words = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                packed = pa.py_buffer((hashes >> np.uint64(32)).astype("<u4").tobytes())
+                words = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((first * 4).astype(np.int32).tobytes()), packed])
                 some = pa.array(size > 0)
                 columns = [*(c.slice(a, b - a) for c in batch.columns[: len(keep)]), *keys, words]
                 yield pa.RecordBatch.from_arrays([c.filter(some) for c in columns], names=[*keep, "k1", "k2", "words"])
@@ -195,14 +196,15 @@ def text_seeds(words: np.ndarray, owner: np.ndarray, size: np.ndarray, counters:
 def _batches(batches: Iterator[pa.RecordBatch], most: int = 100_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     """Slices of (cid, words) batches of about `most` words, with words, text index and sizes."""
     for whole in batches:
-        sizes = np.asarray(whole.column(1).value_lengths().to_numpy(zero_copy_only=False), np.int64)
+        column = whole.column(1).cast(pa.large_binary())
+        bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        sizes = np.diff(bounds) // 4
         block = np.cumsum(sizes) // most
         cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(sizes)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if a < b:
-                part = whole.slice(a, b - a)
-                words = part.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64)
-                yield part, words, np.repeat(np.arange(b - a), sizes[a:b]), sizes[a:b]
+                words = np.frombuffer(column.buffers()[2][int(bounds[a]) : int(bounds[b])].to_pybytes(), "<u4").astype(np.uint64)
+                yield whole.slice(a, b - a), words, np.repeat(np.arange(b - a), sizes[a:b]), sizes[a:b]
 
 
 def _power_of_two(n: int, least: int, most: int) -> int:
@@ -326,6 +328,7 @@ def aligned(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             ca, cb, kept = [], [], []
             for x, y, hits, wa, wb in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                wa, wb = (np.frombuffer(w, "<u4").tolist() for w in (wa, wb))
                 most = max(len(wa), len(wb))
                 matched = extended(wa, wb, chain([(h["a"], h["b"]) for h in hits]))
                 if (most - matched) * TOLERANCE > most:
@@ -385,7 +388,7 @@ def cross_split_classes(df: DataFrame, row_id: str = "rec_id", text: str = "text
     needed = met.select(F.explode(F.array("ca", "cb")).alias("cid")).distinct()
     texts = materialize(classes.select("cid", "words").join(needed, "cid", "left_semi"))
     pairs = met.join(texts.select(F.col("cid").alias("ca"), F.col("words").alias("wa")), "ca").join(texts.select(F.col("cid").alias("cb"), F.col("words").alias("wb")), "cb")
-    same = classes.where("in_train and in_eval").select(F.col("cid").alias("ca"), F.col("cid").alias("cb"), *[F.size("words").alias(c) for c in ("matched", "na", "nb")])
+    same = classes.where("in_train and in_eval").select(F.col("cid").alias("ca"), F.col("cid").alias("cb"), *[F.expr("int(octet_length(words) div 4)").alias(c) for c in ("matched", "na", "nb")])
     links = materialize(aligned(spread(pairs)).unionByName(same))
     linked = classes.select("k1", "k2", "cid").join(links.select(F.explode(F.array("ca", "cb")).alias("cid")).distinct(), "cid", "left_semi")
     members = materialize(sequences.select("rec_id", "in_train", "k1", "k2").join(linked, ["k1", "k2"]).select("rec_id", "in_train", "cid"))
