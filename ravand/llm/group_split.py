@@ -28,12 +28,12 @@ SPLITS = ("train", "validation", "test")
 LARGE = 0.002
 SHARD = 20_000
 DEFAULT_RATIOS = (0.8, 0.1, 0.1)
-BLANKS = "[\\s\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+BLANKS = " \t\n\x0b\f\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def trimmed(c: Column) -> Column:
     """Without blanks of any kind at either end; blank becomes null."""
-    return F.nullif(F.regexp_replace(c, f"^{BLANKS}|{BLANKS}$", ""), F.lit(""))
+    return F.nullif(F.btrim(c, F.lit(BLANKS)), F.lit(""))
 
 
 def split_name(c: Column) -> Column:
