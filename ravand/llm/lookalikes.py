@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravand.llm import codepoints as cp
-from ravand.session import materialize
+from ravand.session import free, materialize
 
 
 def _text_hash(cps: np.ndarray, offs: np.ndarray, salt: int) -> np.ndarray:
@@ -83,16 +83,21 @@ def look_keys(df: DataFrame, row_id: str, text: str) -> DataFrame:
 def lookalike_pairs(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     """(table_name, id_a, id_b): pairs of rows of one table that look the same but are not the same string.
 
-    `tables` maps a name to (DataFrame, id column, text column). Only groups of one look with more than one
-    raw text are joined, so copies of one and the same text, however many, never meet each other's group.
+    `tables` maps a name to (DataFrame, id column, text column). Rows of one raw text are a class; the classes of
+    one look are paired, and each pair of classes is then expanded to its members, so copies of one and the same
+    text, however many, never meet each other. Rows without an id are no case.
     """
     rows = None
     for name, (df, row_id, text) in tables.items():
-        part = look_keys(df, row_id, text).withColumn("table_name", F.lit(name))
+        part = look_keys(df.where(F.col(f"`{row_id}`").isNotNull()), row_id, text).withColumn("table_name", F.lit(name))
         rows = part if rows is None else rows.unionByName(part)
     rows = materialize(rows)
-    mixed = rows.groupBy("table_name", "k1", "k2").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("table_name", "k1", "k2")
-    rows = rows.join(mixed, ["table_name", "k1", "k2"], "left_semi")
-    a, b = rows.alias("a"), rows.alias("b")
-    on = (F.col("a.table_name") == F.col("b.table_name")) & (F.col("a.k1") == F.col("b.k1")) & (F.col("a.k2") == F.col("b.k2")) & (F.col("a.raw") != F.col("b.raw")) & (F.col("a.id") < F.col("b.id"))
-    return a.join(b, on).select(F.col("a.table_name").alias("table_name"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+    look = ["table_name", "k1", "k2"]
+    mixed = rows.groupBy(*look).agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select(*look)
+    members = materialize(rows.join(mixed, look, "left_semi"))
+    free(rows)
+    classes = members.select(*look, "raw").distinct()
+    pairs = classes.withColumnRenamed("raw", "raw_a").join(classes.withColumnRenamed("raw", "raw_b"), look).where("raw_a < raw_b")
+    for side in "ab":
+        pairs = pairs.join(members.select(*look, F.col("raw").alias(f"raw_{side}"), F.col("id").alias(f"id_{side}")), [*look, f"raw_{side}"])
+    return pairs.select("table_name", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))

@@ -1,4 +1,5 @@
 import random
+import time
 import unicodedata
 
 import pyarrow as pa
@@ -61,3 +62,11 @@ def test_every_text_of_both_tables_comes_out(spark, tmp_path):
     spark.createDataFrame([(1, "ｐｏｄ"), (7, "")], "row_id bigint, text string").write.parquet(f"{tmp_path}/chunk_info.parquet")
     found = sorted((tuple(r) for r in p6_normalized(spark, str(tmp_path)).select("table_name", "id", "norm_text").collect()), key=str)
     assert found == sorted([("asr_manifest", 1, "کتاب"), ("asr_manifest", 2, None), ("asr_manifest", 3, "..."), ("asr_manifest", 3, "..."), ("chunk_info", 1, "pod"), ("chunk_info", 7, "")], key=str)
+
+
+def test_many_copies_meet_only_the_variant(spark):
+    rows = spark.range(100_000).selectExpr("id", "'کتاب تازه' as text").union(spark.createDataFrame([(-1, "كتاب تازه"), (None, "كتاب تازه")], "id bigint, text string"))
+    began = time.perf_counter()
+    found = lookalike_pairs({"t": (rows, "id", "text")})
+    assert found.count() == 100_000 and found.where("id_a <> -1").count() == 0
+    assert time.perf_counter() - began < 60
