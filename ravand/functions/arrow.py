@@ -3,25 +3,27 @@
 from __future__ import annotations
 
 import difflib
-import re
-import unicodedata
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-_ACCENTS = re.compile("[\u0300-\u036f]")
+
+def _strings(t: pd.Series) -> pa.Array:
+    return pa.array(t, pa.large_string(), from_pandas=True)
 
 
 @F.pandas_udf(StringType())
 def nfkc(t: pd.Series) -> pd.Series:
-    return t.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+    return pc.utf8_normalize(_strings(t), "NFKC").to_pandas()
 
 
 @F.pandas_udf(StringType())
 def nfd_without_accents(t: pd.Series) -> pd.Series:
     """Decomposed, without U+0300 to U+036F; Arabic vowel marks stay."""
-    return t.map(lambda x: None if x is None else _ACCENTS.sub("", unicodedata.normalize("NFD", x)))
+    return pc.replace_substring_regex(pc.utf8_normalize(_strings(t), "NFD"), "[\u0300-\u036f]", "").to_pandas()
 
 
 @F.pandas_udf(DoubleType())

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ravand.functions.arrays import let
+
 #: The blanks of Python's str.isspace, as the inside of a Java character class, and the same for RE2.
 BLANK = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 BLANK_RE2 = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -18,7 +20,10 @@ PERSIAN = r"\u0600-\u06ff\u0750-\u077f\u08a0-\u08ff\ufb50-\ufdff\ufe70-\ufeff"
 PERSIAN_RE2 = r"\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}"
 # Digits and letters that normalisation maps one to one.
 PERSIAN_DIGITS = ("۰۱۲۳۴۵۶۷۸۹", "0123456789")
-ARABIC_LETTERS = ("يكةؤإأآئء", "یکهواا" + "آ" + "یه")
+ARABIC_LETTERS = ("يكةؤإأآئء", "یکهوااآیه")
+# How a word of valid form ends or begins.
+WORD_ENDINGS = "(?:ی|ان|ها|ات|ین|ون)$"
+WORD_BEGINNINGS = "^(?:می|نمی|بی|با|در|از|به|که)"
 URL = r"http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 
@@ -214,23 +219,38 @@ def fixed2(x: Column) -> Column:
     return F.replace(F.format_number(x, 2), F.lit(","), F.lit(""))
 
 
-def ellipsis(t: Column, most: int) -> Column:
-    return F.when(F.length(t) > most, F.concat(F.substring(t, 1, most), F.lit("..."))).otherwise(t)  # T36
+def ellipsis(t: Column, most: int, inside: bool = False) -> Column:
+    """Cut with three dots behind `most` characters, or with them inside `most`."""
+    return F.when(F.length(t) > most, F.concat(F.substring(t, 1, most - 3 if inside else most), F.lit("..."))).otherwise(t)
 
 
 def word_distance(a: Column, b: Column) -> Column:
-    """Word edits between two texts (T38): each distinct word becomes a letter, then the built-in distance."""
-    wa, wb = words(a), words(b)
-    letters = "".join(map(chr, range(0x4E00, 0x4E00 + 8000)))
-    known = F.array_distinct(F.concat(wa, wb))
-    line = lambda ws: F.array_join(F.transform(ws, lambda x: F.substring(F.lit(letters), F.array_position(known, x).cast("int"), 1)), "")
-    return F.levenshtein(line(wa), line(wb))
+    """Word edits between two texts (T38): each distinct word becomes a character, then the built-in distance.
+
+    The characters are those of UTF-32 from 256 on without surrogates; a pair of texts with more than 1,111,000
+    distinct words is an error. Time grows with the product of the lengths, as that of any edit distance does.
+    """
+
+    def line(ws: Column, known: Column) -> Column:
+        def code(w: Column) -> Column:
+            place = F.array_position(known, w) + 255
+            return F.lpad(F.hex(F.when(place < 0xD800, place).otherwise(place + 0x800)), 8, "0")
+
+        return F.decode(F.unhex(F.array_join(F.transform(ws, code), "")), "UTF-32")
+
+    def distance(pair: Column) -> Column:
+        wa, wb = pair["a"], pair["b"]
+        known = lambda use: let(F.array_distinct(F.concat(wa, wb)), use)
+        return known(lambda k: F.when(F.size(k) > 1_111_000, F.raise_error(F.lit("over 1,111,000 distinct words")).cast("int")).otherwise(F.levenshtein(line(wa, k), line(wb, k))))
+
+    return let(F.struct(words(a).alias("a"), words(b).alias("b")), distance)
 
 
 # Quality scores of one text
 
 
-def _clauses(t: Column) -> Column:
+def clauses(t: Column) -> Column:
+    """Pieces between marks that are not blank."""
     return F.filter(F.transform(F.split(t, f"[{ENDINGS}]"), strip), lambda s: s != "")
 
 
@@ -238,21 +258,22 @@ def _blank(t: Column) -> Column:
     return strip(t) == ""
 
 
-def word_accuracy(t: Column) -> Column:
-    """Share of words of two or more characters with a letter of the Arabic block, or of valid form (Q1)."""
-    ws = words(t)
+def word_accuracy(t: Column, ws: Column | None = None) -> Column:
+    """Share of words of two or more characters with a letter of the Arabic block, or of valid form (Q1). `ws`: words(t), if at hand."""
+    ws = words(t) if ws is None else ws
 
     def valid(w: Column) -> Column:
-        bare = F.regexp_replace(w, f"[^{PERSIAN}]", "")
-        ended = bare.rlike("(?:ی|ان|ها|ات|ین|ون)$") | bare.rlike("^(?:می|نمی|بی|با|در|از|به|که)")
-        return w.rlike(f"[{PERSIAN}]") & (((F.length(w) >= 2) & w.rlike(r"[\u0600-\u06ff]")) | ((F.length(bare) >= 2) & (ended | bare.rlike(r"[\u0600-\u06ff]"))))
+        def formed(bare: Column) -> Column:
+            return (F.length(bare) >= 2) & (bare.rlike(r"[\u0600-\u06ff]") | bare.rlike(WORD_ENDINGS) | bare.rlike(WORD_BEGINNINGS))
+
+        return ((F.length(w) >= 2) & w.rlike(r"[\u0600-\u06ff]")) | (w.rlike(f"[{PERSIAN}]") & let(F.regexp_replace(w, f"[^{PERSIAN}]", ""), formed))
 
     return F.when(_blank(t), 0.0).otherwise(F.size(F.filter(ws, valid)) / F.size(ws))
 
 
-def sentence_fluency(t: Column) -> Column:
-    """Mean score of clauses: short 0.3, else 0.8, times 0.7 if long and 0.9 with doubled blanks (Q2), in integers first."""
-    found = _clauses(t)
+def sentence_fluency(t: Column, found: Column | None = None) -> Column:
+    """Mean score of clauses: short 0.3, else 0.8, times 0.7 if long and 0.9 with doubled blanks (Q2), in integers first. `found`: clauses(t), if at hand."""
+    found = clauses(t) if found is None else found
 
     def score(s: Column) -> Column:
         n = F.size(words(s))
@@ -280,9 +301,9 @@ def _total(t: Column, patterns: tuple[str, ...]) -> Column:
     return out
 
 
-def speaker_separation(t: Column) -> Column:
+def speaker_separation(t: Column, ws: Column | None = None) -> Column:
     """Q4."""
-    n = F.size(words(t))
+    n = F.size(words(t) if ws is None else ws)
     ratio = _total(t, SPEECH_VERBS) / n
     return F.when(n < 10, 0.5).when(ratio.between(0.005, 0.03), 1.0).when(ratio > 0.03, F.greatest(F.lit(0.0), 1.0 - (ratio - 0.03) / 0.02)).otherwise(ratio / 0.005)
 
@@ -293,20 +314,26 @@ def noise_level(snr: Column, quality: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (band + (1.0 - quality)) / 2))
 
 
-def repetition_score(t: Column) -> Column:
+def repetition_score(t: Column, ws: Column | None = None) -> Column:
     """Q7."""
-    ws = words(t)
+    ws = words(t) if ws is None else ws
     n = F.size(ws)
     return F.when(n < 5, 0.0).otherwise(F.least(F.lit(1.0), (n - F.size(F.array_distinct(ws))) / n * 2))
 
 
-def context_coherence(t: Column) -> Column:
+def context_coherence(t: Column, found: Column | None = None) -> Column:
     """Q8."""
-    n = F.size(_clauses(t))
+    n = F.size(clauses(t) if found is None else found)
     ratio = _total(t, CONNECTORS) / n
     return F.when(_blank(t), 0.0).when(n < 2, 0.5).when(ratio.between(0.3, 1.2), 1.0).when(ratio > 1.2, F.greatest(F.lit(0.0), 1.0 - (ratio - 1.2) / 0.8)).otherwise(ratio / 0.3)
 
 
 def overall_quality(t: Column, confidence: Column, noise: Column) -> Column:
-    """Q9."""
-    return word_accuracy(t) * 0.25 + sentence_fluency(t) * 0.20 + punctuation_accuracy(t) * 0.15 + speaker_separation(t) * 0.10 + confidence * 0.15 + (1.0 - noise) * 0.10 + (1.0 - repetition_score(t)) * 0.05
+    """Q9; words and clauses are taken once."""
+
+    def score(x: Column) -> Column:
+        ws, found = x["w"], x["c"]
+        parts = word_accuracy(t, ws) * 0.25 + sentence_fluency(t, found) * 0.20 + punctuation_accuracy(t) * 0.15 + speaker_separation(t, ws) * 0.10
+        return parts + confidence * 0.15 + (1.0 - noise) * 0.10 + (1.0 - repetition_score(t, ws)) * 0.05
+
+    return let(F.struct(words(t).alias("w"), clauses(t).alias("c")), score)

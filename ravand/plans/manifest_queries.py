@@ -189,11 +189,11 @@ def l05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.array_join(F.slice(T.words(c("text")), 1, 5), " ").alias("first"))
 
 
-@query("o01_sorted_segments", "select file_id, seg_id, row_number() over (partition by file_id, cast(floor(start_time / 3600) as bigint) order by start_time, seg_id) as place from speaker_segment where start_time is not null and file_id is not null")
+@query("o01_sorted_segments", "select file_id, seg_id, row_number() over (partition by file_id order by start_time, seg_id) as place from speaker_segment where start_time is not null and file_id is not null")
 def o01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Place of a segment by start time within each hour of its file (O1)."""
-    w = Window.partitionBy("file_id", F.floor(c("start_time") / 3600)).orderBy("start_time", "seg_id")
-    return table(spark, sf_dir, "speaker_segment").where("start_time is not null and file_id is not null").select("file_id", "seg_id", F.row_number().over(w).alias("place"))
+    """Place of a segment by start time within its file (O1); ranked within hours, whose counts are added up."""
+    s = table(spark, sf_dir, "speaker_segment").where("start_time is not null and file_id is not null").select("file_id", "seg_id", "start_time")
+    return with_rank(s, ["file_id"], F.floor(c("start_time") / 3600), ["start_time", "seg_id"], "place").select("file_id", "seg_id", "place")
 
 
 @query("o02_newest_chunks", f"select row_id, text from (select row_id, text from chunk_info order by ingested_at desc, row_id desc limit 20) where {s_strip('coalesce(text, ' + chr(39) * 2 + ')')} <> ''")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ravand.functions import arrow
 from ravand.functions import text as T
+from ravand.operators.islands import with_rank
 from ravand.plans.registry import query, table
 from ravand.session import spread
 
@@ -120,7 +121,7 @@ per_document("t18_close", T.close_text, "case when {0} <> '' and right({0}, 1) n
 def t19(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and issues of a text (T19); word frequencies are counted in a shuffle, so long texts cost no square."""
     d = documents(spark, sf_dir).where("text <> ''")
-    base = d.select("doc_id", F.size(T.words(F.col("text"))).alias("word_count"), F.size(T._clauses(F.col("text"))).alias("sentence_count"), T.count_of(F.col("text"), ENDS).alias("punctuation_count"))
+    base = d.select("doc_id", F.size(T.words(F.col("text"))).alias("word_count"), F.size(T.clauses(F.col("text"))).alias("sentence_count"), T.count_of(F.col("text"), ENDS).alias("punctuation_count"))
     top = d.select("doc_id", F.explode(T.words(F.col("text"))).alias("x")).groupBy("doc_id", "x").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.max("n").alias("top"))
     a = base.join(top, "doc_id", "left").fillna(0, ["top"])
     avg = F.when(F.col("sentence_count") > 0, F.col("word_count") / F.col("sentence_count")).otherwise(0.0)
@@ -180,20 +181,29 @@ def t31(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: A transcript is written in parts of so many chunk numbers, so that no row grows with its file.
-PART = 500
+#: Chunk numbers that are joined in one step before the steps of a file are; a bound of a task's first work, not of the result.
+STEP = 500
 
 
 @query(
     "t32_merge_chunks",
-    f"""select file_id, chunk_id // {PART} as part_no, replace(string_agg({s_strip("text")}, ' ' order by chunk_id, row_id), '  ', ' ') as merged, count(*) as n_chunks
-        from chunk_info where {s_strip("coalesce(text, '')")} <> '' and file_id is not null group by file_id, part_no""",
+    f"""select file_id, trim(replace(string_agg({s_strip("text")}, ' ' order by chunk_id, row_id), '  ', ' ')) as merged, count(*) as n_chunks
+        from chunk_info where {s_strip("coalesce(text, '')")} <> '' and file_id is not null group by file_id""",
 )
 def t32(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunk texts merged in order, blank ones dropped, doubled blanks halved once."""
+    """Chunk texts of a file merged in order, blank ones dropped, doubled blanks halved once.
+
+    A transcript is one text, so a row grows with its file; it is put together from steps that other tasks have joined.
+    A doubled blank lies within one chunk, so it is halved there.
+    """
     rows = table(spark, sf_dir, "chunk_info").select("file_id", "chunk_id", "row_id", T.strip(F.col("text")).alias("t")).where("t <> '' and file_id is not null")
-    parts = rows.groupBy("file_id", F.expr(f"chunk_id div {PART}").alias("part_no")).agg(F.array_sort(F.collect_list(F.struct("chunk_id", "row_id", "t"))).alias("x"))
-    return parts.select("file_id", "part_no", F.replace(F.array_join(F.transform("x", lambda v: v["t"]), " "), F.lit("  "), F.lit(" ")).alias("merged"), F.size("x").cast("bigint").alias("n_chunks"))
+    rows = rows.select("file_id", F.expr(f"chunk_id div {STEP}").alias("step"), F.struct("chunk_id", "row_id", F.replace("t", F.lit("  "), F.lit(" ")).alias("t")).alias("x"))
+
+    def joined(column: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(column)), lambda v: v["t"]), " ")
+
+    steps = rows.groupBy("file_id", "step").agg(joined("x").alias("t"), F.count(F.lit(1)).alias("n")).select("file_id", F.struct("step", "t").alias("x"), "n")
+    return steps.groupBy("file_id").agg(joined("x").alias("merged"), F.sum("n").alias("n_chunks"))
 
 
 @query("t33_labelled_lines", "select seg_id, '[Speaker ' || speaker_id || '] (' || printf('%.2f', start_time) || '-' || printf('%.2f', end_time) || '): ' || trim(text, ' ') as line from speaker_segment where trim(coalesce(text, ''), ' ') <> '' and start_time is not null and end_time is not null and speaker_id is not null")
@@ -222,6 +232,7 @@ def t35(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 per_document("t36_truncate", lambda t: T.ellipsis(t, 80), "case when length(text) > 80 then left(text, 80) || '...' else text end")
+per_document("t36_truncate_inside", lambda t: T.ellipsis(t, 80, inside=True), "case when length(text) > 80 then left(text, 77) || '...' else text end")
 
 
 @query("t37_reverse", "select row_id, array_to_string(list_transform(range(length(text), 0, -1), lambda i: substring(text, i, 1)), '') as result from chunk_info where text is not null")
@@ -245,13 +256,13 @@ def t38(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "t39_listing",
-    "select file_id, chunk_id, row_id, 'Part ' || row_number() over (partition by file_id, chunk_id // 500 order by chunk_id, row_id) || ': ' || case when length(text) > 50 then left(text, 50) || '...' else text end as line from chunk_info where text is not null and file_id is not null",
+    "select file_id, chunk_id, row_id, 'Part ' || row_number() over (partition by file_id order by chunk_id, row_id) || ': ' || case when length(text) > 50 then left(text, 47) || '...' else text end as line from chunk_info where text is not null and file_id is not null",
 )
 def t39(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered listing of the chunks of each part of a file."""
-    n = F.row_number().over(Window.partitionBy("file_id", F.expr(f"chunk_id div {PART}")).orderBy("chunk_id", "row_id"))
-    rows = table(spark, sf_dir, "chunk_info").where("text is not null and file_id is not null")
-    return rows.select("file_id", "chunk_id", "row_id", F.concat(F.lit("Part "), n.cast("string"), F.lit(": "), T.ellipsis(F.col("text"), 50)).alias("line"))
+    """Numbered listing of the chunks of a file (T39); ranked within steps of chunk numbers, so no window spans a file."""
+    rows = table(spark, sf_dir, "chunk_info").where("text is not null and file_id is not null").select("file_id", "chunk_id", "row_id", "text")
+    rows = with_rank(rows, ["file_id"], F.expr(f"chunk_id div {STEP}"), ["chunk_id", "row_id"], "n")
+    return rows.select("file_id", "chunk_id", "row_id", F.concat(F.lit("Part "), F.col("n").cast("string"), F.lit(": "), T.ellipsis(F.col("text"), 50, inside=True)).alias("line"))
 
 
 @query("t04_similarity")
@@ -321,12 +332,13 @@ _OVERALL = "word_accuracy * 0.25e0 + sentence_fluency * 0.20e0 + punctuation_acc
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return (
-        documents(spark, sf_dir)
-        .where("text is not null")
-        .select("doc_id", T.word_accuracy(t).alias("word_accuracy"), T.sentence_fluency(t).alias("sentence_fluency"), T.punctuation_accuracy(t).alias("punctuation_accuracy"), T.speaker_separation(t).alias("speaker_separation"), F.lit(0.5).alias("confidence"), T.noise_level(F.lit(20.0), F.lit(0.8)).alias("noise_level"), T.repetition_score(t).alias("repetition"), T.context_coherence(t).alias("coherence"))
-    )
+    """All metrics of each text; words and clauses are columns of a step before, so that they are taken once."""
+    t, ws, found = F.col("text"), F.col("ws"), F.col("found")
+    d = documents(spark, sf_dir).where("text is not null").select("doc_id", "text", T.words(t).alias("ws"), T.clauses(t).alias("found"))
+    return d.select(
+        "doc_id", T.word_accuracy(t, ws).alias("word_accuracy"), T.sentence_fluency(t, found).alias("sentence_fluency"), T.punctuation_accuracy(t).alias("punctuation_accuracy"), T.speaker_separation(t, ws).alias("speaker_separation"),
+        F.lit(0.5).alias("confidence"), T.noise_level(F.lit(20.0), F.lit(0.8)).alias("noise_level"), T.repetition_score(t, ws).alias("repetition"), T.context_coherence(t, found).alias("coherence"),
+    )
 
 
 def _overall() -> Column:

@@ -113,3 +113,16 @@ def test_word_distance(spark, seqs):
     pairs = list(zip(seqs[::2], seqs[1::2], strict=False))
     rows = spark.createDataFrame([(i, " ".join(a), " ".join(b)) for i, (a, b) in enumerate(pairs)], "i int, a string, b string").select("i", T.word_distance(F.col("a"), F.col("b")).alias("d")).collect()
     assert {r["i"]: r["d"] for r in rows} == {i: distance(a, b) for i, (a, b) in enumerate(pairs)}
+
+
+def test_word_distance_of_many_distinct_words(spark):
+    a = [f"w{i}" for i in range(9000)]
+    b = [*a[:4500], "new", *a[4502:], "end"]
+    small = [f"v{i}" for i in range(2000)]
+    found = spark.createDataFrame([(0, " ".join(a), " ".join(b)), (1, " ".join(small), " ".join(small[::-1]))], "i int, a string, b string").select("i", T.word_distance(F.col("a"), F.col("b")).alias("d")).collect()
+    assert {r["i"]: r["d"] for r in found} == {0: 3, 1: 2000}
+
+
+def test_truncation(spark):
+    assert column(spark, lambda t: T.ellipsis(t, 5), ["abcdef", "abcde", None]) == ["abcde...", "abcde", None]
+    assert column(spark, lambda t: T.ellipsis(t, 5, inside=True), ["abcdef", "abcde", None]) == ["ab...", "abcde", None]
