@@ -92,10 +92,19 @@ def joined_with_gap(a: Column, b: Column, gap_seconds: Column, rate: int) -> Col
     return F.concat(d(a), F.array_repeat(F.lit(0.0), F.greatest(F.floor(gap_seconds * rate).cast("int"), F.lit(0))), d(b))
 
 
-def zero_crossings(a: Column) -> Column:
-    """Share of neighbours of which one is negative and one is not."""
-    changes = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.size(a) - 1), lambda i: (F.get(a, i) < 0) != (F.get(a, i - 1) < 0)), lambda x: x))
-    return changes / F.size(a)
+def zero_crossings(a: Column, frame: int = 2048, hop: int = 512) -> Column:
+    """Mean over frames, centred on every `hop`-th sample and padded with the outermost ones, of the share of samples at which the sign changes.
+
+    Magnitudes up to 1e-10 count as zero, which is not negative; the first sample of a frame is no change.
+    """
+
+    def share(changes: Column) -> Column:
+        starts = F.transform(F.sequence(F.lit(0), F.floor(F.size(a) / hop).cast("int")), lambda t: t * hop - frame // 2)
+        return F.transform(starts, lambda s: F.size(F.filter(changes, lambda i: (i > s) & (i < s + frame))) / F.lit(float(frame)))
+
+    low = F.transform(a, lambda x: x < -1e-10)
+    changes = let(low, lambda z: F.filter(F.transform(z, lambda x, i: F.when((i > 0) & (x != F.get(z, i - 1)), i)), lambda i: i.isNotNull()))
+    return F.when(F.size(a) > 0, let(changes, lambda c: mean(share(c))))
 
 
 def frame_energies(a: Column, frame: int, hop: int) -> Column:

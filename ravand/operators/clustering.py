@@ -7,71 +7,156 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Segments of one file that are clustered at once: the distances of a task are bounded by its square.
-MOST_SEGMENTS = 4000
+#: Rows of a block of distances: what is held at once, whatever the size of a file.
+BLOCK = 1024
 
 
-def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
-    """Labels of k clusters by Ward's agglomeration (Lance-Williams updates of squared distances)."""
+def ward_tree(x: np.ndarray) -> list[tuple[float, int, int]]:
+    """(height, a, b) of Ward's merges, in order of height; a and b are rows that stand for the merged clusters.
+
+    Nearest-neighbour chains over cluster means: no matrix of distances is held, and each of about three times as
+    many steps as rows costs one pass over the means.
+    """
     n = len(x)
-    size = np.ones(n)
-    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
-    np.fill_diagonal(d, np.inf)
-    label = np.arange(n)
+    mean, size = x.astype(float).copy(), np.ones(n)
     alive = np.ones(n, bool)
-    for _ in range(n - k):
-        a, b = divmod(int(np.argmin(d)), n)
-        a, b = min(a, b), max(a, b)
-        na, nb = size[a], size[b]
-        new = ((na + size) * d[a] + (nb + size) * d[b] - size * d[a, b]) / (na + nb + size)
-        new[a] = new[b] = np.inf
-        new[~alive] = np.inf
-        d[a], d[:, a] = new, new
-        d[b], d[:, b] = np.inf, np.inf
-        alive[b] = False
-        size[a] += nb
-        label[label == b] = a
-    return np.unique(label, return_inverse=True)[1]
+    chain: list[int] = []
+    merges: list[tuple[float, int, int]] = []
+    while len(merges) < n - 1:
+        if not chain:
+            chain.append(int(np.argmax(alive)))
+        a = chain[-1]
+        d = ((mean - mean[a]) ** 2).sum(axis=1) * (size * size[a] / (size + size[a]))
+        d[~alive] = np.inf
+        d[a] = np.inf
+        b = int(np.argmin(d))
+        if len(chain) > 1 and d[chain[-2]] <= d[b]:  # the one before is nearest as well: they merge
+            b = chain[-2]
+            chain = chain[:-2]
+            keep, gone = min(a, b), max(a, b)
+            merges.append((float(d[b]), keep, gone))
+            mean[keep] = (mean[a] * size[a] + mean[b] * size[b]) / (size[a] + size[b])
+            size[keep] = size[a] + size[b]
+            alive[gone] = False
+        else:
+            chain.append(b)
+    return sorted(merges, key=lambda m: m[0])
+
+
+def cut(merges: list[tuple[float, int, int]], n: int, k: int) -> np.ndarray:
+    """Labels of k clusters: the tree of `ward_tree` without its k - 1 highest merges."""
+    up = list(range(n))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for _, a, b in merges[: n - k]:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return np.unique([root(i) for i in range(n)], return_inverse=True)[1]
+
+
+def ward_labels(x: np.ndarray, k: int) -> np.ndarray:
+    """Labels of k clusters by Ward's agglomeration."""
+    return cut(ward_tree(x), len(x), k)
+
+
+def mean_silhouettes(x: np.ndarray, labelings: list[np.ndarray]) -> list[float]:
+    """Mean Euclidean silhouette of each labelling; a cluster of one scores 0. Distances are made once, in blocks of rows."""
+    norm = (x**2).sum(axis=1)
+    members = [np.eye(int(labels.max()) + 1)[labels] for labels in labelings]
+    totals = [0.0] * len(labelings)
+    for at in range(0, len(x), BLOCK):
+        part = slice(at, at + BLOCK)
+        d = norm[part, None] + norm[None] - 2 * x[part] @ x.T
+        row = np.arange(len(d))
+        d[row, row + at] = 0
+        d = np.sqrt(np.maximum(d, 0))
+        for k, (labels, member) in enumerate(zip(labelings, members, strict=True)):
+            sums, counts, own = d @ member, member.sum(axis=0), labels[part]
+            inner = sums[row, own] / np.maximum(counts[own] - 1, 1)
+            means = sums / counts
+            means[row, own] = np.inf
+            outer = means.min(axis=1)
+            totals[k] += float(np.where(counts[own] > 1, (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300), 0.0).sum())
+    return [t / len(x) for t in totals]
 
 
 def mean_silhouette(x: np.ndarray, labels: np.ndarray) -> float:
-    """Mean Euclidean silhouette; a cluster of one scores 0."""
-    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
-    names = np.unique(labels)
-    sums = np.stack([d[:, labels == c].sum(axis=1) for c in names], axis=1)
-    counts = np.array([(labels == c).sum() for c in names])
-    own = np.searchsorted(names, labels)
-    row = np.arange(len(x))
-    inner = sums[row, own] / np.maximum(counts[own] - 1, 1)
-    means = sums / counts
-    means[row, own] = np.inf
-    outer = means.min(axis=1)
-    s = np.where(counts[own] > 1, (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300), 0.0)
-    return float(s.mean())
-
-
-def choose_labels(x: np.ndarray, least: int = 1, most: int = 10) -> np.ndarray:
-    """Labels of the number of clusters with the best silhouette; one cluster scores 0, ties keep the fewer."""
-    best, best_score = np.zeros(len(x), int), 0.0 if least <= 1 else -np.inf
-    for k in range(max(least, 2), min(most, len(x) - 1) + 1):
-        labels = ward_labels(x, k)
-        score = mean_silhouette(x, labels)
+    return mean_silhouettes(x, [np.unique(labels, return_inverse=True)[1]])[0]
+
+
+def choose_labels(x: np.ndarray, least: int = 1, most: int = 10, forced: int | None = None) -> np.ndarray:
+    """Labels of the number of clusters with the best silhouette; one cluster scores 0, ties keep the fewer.
+
+    `forced` clusters, at most one for each row, are made without a choice. Where `least` is over what the rows
+    allow, there are `least` clusters, or as many as there are rows.
+    """
+    n = len(x)
+    if n < 2:
+        return np.zeros(n, int)
+    if forced is not None and forced >= 1:
+        return ward_labels(x, min(forced, n))
+    tree = ward_tree(x)
+    counts = list(range(max(least, 2), min(most, n - 1) + 1))
+    labelings = [cut(tree, n, k) for k in counts]
+    best, best_score = (np.zeros(n, int), 0.0) if least <= 1 else (cut(tree, n, min(least, n)), -1.0)
+    for labels, score in zip(labelings, mean_silhouettes(x, labelings), strict=True):
         if score > best_score:
             best, best_score = labels, score
     return best
 
 
-def cluster_speakers(df: DataFrame, file_id: str, seg_id: str, embedding: str, least: int = 1, most: int = 10) -> DataFrame:
-    """(file_id, seg_id, speaker): clusters of a file's segments (A14). A file of more than MOST_SEGMENTS is an error."""
+def cluster_speakers(df: DataFrame, file_id: str, seg_id: str, embedding: str, least: int = 1, most: int = 10, forced: int | None = None) -> DataFrame:
+    """(file_id, seg_id, speaker): clusters of a file's segments.
+
+    A file's vectors are one task's, time grows with the square of their number; memory with the number alone.
+    """
     kinds = {c: df.schema[c].dataType.simpleString() for c in (file_id, seg_id)}
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        if len(group) > MOST_SEGMENTS:
-            raise ValueError(f"{len(group)} segments in one file; at most {MOST_SEGMENTS} can be clustered together")
         x = np.stack(group[embedding].to_numpy()).astype(float)
-        return pd.DataFrame({file_id: group[file_id], seg_id: group[seg_id], "speaker": choose_labels(x, least, most)})
+        return pd.DataFrame({file_id: group[file_id], seg_id: group[seg_id], "speaker": choose_labels(x, least, most, forced)})
+
+    kept = df.select(file_id, seg_id, embedding).where(F.col(embedding).isNotNull())
+    return kept.groupBy(file_id).applyInPandas(run, f"`{file_id}` {kinds[file_id]}, `{seg_id}` {kinds[seg_id]}, speaker bigint")
+
+
+#: Clusters whose means centroid_silhouette sends to every task.
+MOST_CENTROIDS = 10_000
+
 
-    return df.select(file_id, seg_id, embedding).groupBy(file_id).applyInPandas(run, f"`{file_id}` {kinds[file_id]}, `{seg_id}` {kinds[seg_id]}, speaker bigint")
+def centroid_silhouette(df: DataFrame, row_id: str, embedding: str, label: str) -> DataFrame:
+    """(row_id, silhouette) against the means of the clusters instead of all rows (A15 at any size): linear in the rows.
+
+    Only the means are sent to the tasks; more than MOST_CENTROIDS clusters are an error. A single cluster scores 0.
+    """
+    rows = df.select(F.col(row_id).alias("id"), F.col(embedding).alias("v"), F.col(label).alias("c")).where("v is not null and c is not null")
+    means = rows.select("c", F.posexplode("v").alias("i", "x")).groupBy("c", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    found = means.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("m")).limit(MOST_CENTROIDS + 1).collect()
+    if len(found) > MOST_CENTROIDS:
+        raise ValueError(f"more than {MOST_CENTROIDS} clusters")
+    place = {r["c"]: i for i, r in enumerate(found)}
+    centres = df.sparkSession.sparkContext.broadcast((place, np.array([[m["m"] for m in r["m"]] for r in found])))
+
+    def run(batches):
+        place, mean = centres.value
+        for batch in batches:
+            for at in range(0, len(batch), BLOCK):
+                part = batch.iloc[at : at + BLOCK]
+                x, own = np.stack(part["v"].to_numpy()).astype(float), part["c"].map(place).to_numpy()
+                d = np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + (mean**2).sum(axis=1)[None] - 2 * x @ mean.T, 0))
+                row = np.arange(len(x))
+                inner = d[row, own].copy()
+                d[row, own] = np.inf
+                outer = d.min(axis=1)
+                value = np.where(np.isinf(outer), 0.0, (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300))
+                yield pd.DataFrame({row_id: part["id"], "silhouette": value})
+
+    return rows.mapInPandas(run, f"`{row_id}` {df.schema[row_id].dataType.simpleString()}, silhouette double")
 
 
 def silhouette_points(df: DataFrame, row_id: str, embedding: str, label: str) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ravand.functions import arrays as A
-from ravand.operators.clustering import cluster_speakers, silhouette_points
+from ravand.functions.spectral import pooled_features, spectral_entropy
+from ravand.operators.clustering import centroid_silhouette, cluster_speakers, silhouette_points
 from ravand.plans.registry import query, table
 
 SUM = "list_sum(list_transform({0}, lambda x: cast(x as double)))"
@@ -52,7 +53,15 @@ signal("a03_gain", lambda a: {"gain_e6": micro(A.loudness_gain(a)), "rms_e6": mi
 _PEAK = "list_max(list_transform(embedding, lambda x: abs(cast(x as double))))"
 _SCALED = f"list_transform({E}, lambda x: x / {_PEAK} * 0.95e0)"
 signal("a04_normalized", lambda a: {"checksum": summed(A.normalized(a)), "peak_e6": micro(A.peak(a).cast("double"))}, f"{s_summed(f'list_transform({_SCALED}, lambda x: x * (0.1e0 / {RMS.format(_SCALED)}))')} as checksum, {s_micro(_PEAK)} as peak_e6")
-signal("a06_zero_crossings", lambda a: {"zcr": A.zero_crossings(a)}, "len(list_filter(range(2, len(embedding) + 1), lambda i: (embedding[i] < 0) <> (embedding[i - 1] < 0))) / cast(len(embedding) as double) as zcr")
+_CHANGES = "list_filter(range(2, len(embedding) + 1), lambda i: (embedding[i] < -1e-10) <> (embedding[i - 1] < -1e-10))"
+
+
+def s_crossings(frame: int, hop: int) -> str:
+    return f"list_avg(list_transform(range(0, len(embedding) // {hop} + 1), lambda t: len(list_filter({_CHANGES}, lambda i: i - 1 > t * {hop} - {frame // 2} and i - 1 < t * {hop} + {frame // 2})) / {frame}.0e0)) as zcr"
+
+
+signal("a06_zero_crossings", lambda a: {"zcr": A.zero_crossings(a)}, s_crossings(2048, 512))
+signal("a06_short_frames", lambda a: {"zcr": A.zero_crossings(a, 16, 8)}, s_crossings(16, 8))
 signal("a09_volume", lambda a: {"checksum": summed(A.changed_volume(a, 4.0))}, s_summed(f"case when {_PEAK} * 4.0e0 > 1 then list_transform({E}, lambda x: x * 4.0e0 / ({_PEAK} * 4.0e0) * 0.95e0) else list_transform({E}, lambda x: x * 4.0e0) end") + " as checksum")
 signal("a17_guarded", lambda a: {"checksum": summed(A.guarded(F.transform(a, lambda x: x.cast("double") * 3)))}, s_summed(f"case when {_PEAK} * 3 > 1.0 then list_transform({E}, lambda x: x * 3 / ({_PEAK} * 3)) else list_transform({E}, lambda x: x * 3) end") + " as checksum")
 _LOUD = "list_filter(range(1, len(embedding) + 1), lambda i: abs(embedding[i]) > 0.1)"
@@ -62,19 +71,34 @@ signal("i16_padded", lambda a: {"size": F.size(A.padded(a, 80)), "checksum": sum
 signal("a16_joined", lambda a: {"size": F.size(A.joined_with_gap(a, a, F.lit(0.5), 16)), "checksum": summed(A.joined_with_gap(a, a, F.lit(0.5), 16))}, f"2 * len(embedding) + 8 as size, {s_summed('list_concat(list_concat(embedding, list_transform(range(0, 8), lambda i: 0.0)), embedding)')} as checksum")
 
 
+_CENTRED = f"list_transform({E}, lambda x, i: (x - list_sum({E}) / len(embedding)) * (0.5e0 - 0.5e0 * cos(2 * pi() * (i - 1) / len(embedding))))"
+_WAVE = "list_sum(list_transform(y, lambda x, i: x * {0}(2 * pi() * k * (i - 1) / len(y))))"
+
+
 @query(
     "a05_signal_quality",
     f"""with x as (select vec_id, unnest({E}) as x from embeddings), q as (select vec_id, quantile_cont(abs(x), 0.1) as p from x group by vec_id),
-        s as (select vec_id, 10 * log10(list_sum(list_transform({E}, lambda x: x * x)) / len(embedding) / greatest(p * p, 1e-10)) as snr from embeddings join q using (vec_id))
-        select vec_id, {s_micro("snr")} as snr_e6, case when snr > 20 then 'EXCELLENT' when snr > 15 then 'GOOD' when snr > 10 then 'FAIR' else 'POOR' end as quality from s""",
+        y as (select vec_id, {_CENTRED} as y from embeddings),
+        w as (select vec_id, k, case when k = 0 or k * 2 = len(y) then 1 else 2 end * (pow({_WAVE.format("cos")}, 2) + pow({_WAVE.format("sin")}, 2)) as w from (select *, unnest(range(0, len(y) // 2 + 1)) as k from y)),
+        h as (select vec_id, -sum(case when w > 0 then w / t * ln(w / t) else 0 end) as h from (select *, sum(w) over (partition by vec_id) as t from w) group by vec_id),
+        s as (select vec_id, h, 10 * log10(list_sum(list_transform({E}, lambda x: x * x)) / len(embedding) / greatest(p * p, 1e-10)) as snr from embeddings join q using (vec_id) join h using (vec_id))
+        select vec_id, {s_micro("snr")} as snr_e6, {s_micro("h")} as entropy_e6, case when snr > 20 and h < 8 then 'EXCELLENT' when snr > 15 and h < 10 then 'GOOD' when snr > 10 then 'FAIR' else 'POOR' end as quality from s""",
 )
 def a05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signal-to-noise ratio over the tenth percentile of the magnitudes, and its class (A5)."""
-    e = table(spark, sf_dir, "embeddings")
-    floor = e.select("vec_id", F.explode("embedding").alias("x")).groupBy("vec_id").agg(F.percentile(F.abs(F.col("x").cast("double")), F.lit(0.1)).alias("p"))
+    """Signal-to-noise ratio over the tenth percentile of the magnitudes, entropy of the spectrum, and the class they give (A5)."""
+
+    def tenth(sorted_magnitudes: Column) -> Column:
+        place = (F.size(sorted_magnitudes) - 1) * F.lit(0.1)
+        low = F.floor(place).cast("int")
+        a, b = F.get(sorted_magnitudes, low), F.get(sorted_magnitudes, F.least(low + 1, F.size(sorted_magnitudes) - 1))
+        return a + (b - a) * (place - low)
+
+    floor = A.let(F.array_sort(F.transform("embedding", lambda x: F.abs(x.cast("double")))), tenth)
     power = A.total(F.transform("embedding", lambda x: x.cast("double") * x.cast("double"))) / F.size("embedding")
-    s = e.join(floor, "vec_id").select("vec_id", (F.lit(10) * F.log10(power / F.greatest(F.col("p") * F.col("p"), F.lit(1e-10)))).alias("snr"))
-    return s.select("vec_id", micro(F.col("snr")).alias("snr_e6"), F.when(F.col("snr") > 20, "EXCELLENT").when(F.col("snr") > 15, "GOOD").when(F.col("snr") > 10, "FAIR").otherwise("POOR").alias("quality"))
+    s = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", floor.alias("p"), power.alias("power"))
+    s = s.select("vec_id", (F.lit(10) * F.log10(F.col("power") / F.greatest(F.col("p") * F.col("p"), F.lit(1e-10)))).alias("snr"), spectral_entropy(F.transform("embedding", lambda x: x.cast("double"))).alias("h"))
+    quality = F.when((F.col("snr") > 20) & (F.col("h") < 8), "EXCELLENT").when((F.col("snr") > 15) & (F.col("h") < 10), "GOOD").when(F.col("snr") > 10, "FAIR").otherwise("POOR")
+    return s.select("vec_id", micro(F.col("snr")).alias("snr_e6"), micro(F.col("h")).alias("entropy_e6"), quality.alias("quality"))
 
 
 @query("a08_noise")
@@ -117,6 +141,13 @@ def a13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("label", (F.col("p") + 1).cast("bigint").alias("i")).agg(micro(F.avg(F.col("x").cast("double"))).alias("mean_e6"))
 
 
+@query("a13_voice_features")
+def a13b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cepstral coefficients with their first and second differences, pooled by the mean (A13); frames fit arrays of 64 samples."""
+    samples = F.transform("embedding", lambda x: x.cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", pooled_features(samples, rate=16_000, n_fft=32, hop=4, bands=20).alias("features"))
+
+
 @query("a14_speaker_clusters")
 def a14(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").withColumn("file_id", F.col("vec_id") % 10)
@@ -133,6 +164,17 @@ def a15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silhouette_points(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label").agg(F.count(F.lit(1)).alias("n"), micro(F.avg("silhouette")).alias("silhouette_e6"))
 
 
+@query(
+    "a15_centroid_silhouette",
+    f"""with m as (select label, i, avg(x) as m from (select label, unnest({E}) as x, unnest(range(1, len(embedding) + 1)) as i from embeddings) group by label, i), l as (select label, list(m order by i) as m from m group by label),
+             d as (select vec_id, e.label as own, l.label as c, list_distance({E}, l.m) as d from embeddings e join l on true),
+             s as (select vec_id, max(case when c = own then d end) as i, min(case when c <> own then d end) as o from d group by vec_id)
+       select vec_id, {s_micro("(o - i) / greatest(o, i)")} as silhouette_e6 from s""",
+)
+def a15b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_silhouette(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label").select("vec_id", micro(F.col("silhouette")).alias("silhouette_e6"))
+
+
 RATE, FRAME, HOP = 1000, 25, 10
 
 
