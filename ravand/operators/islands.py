@@ -6,7 +6,9 @@ and the last run from bucket to bucket.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -87,3 +89,30 @@ def with_rank(df: DataFrame, keys: list[str], bucket: Column, order: list[str],
     out = rows.join(counts, [*keys, "__b"])
     extra = [F.col("__all").alias(size)] if size else []
     return out.select(*df.columns, (F.col("__r") + F.col("__before")).alias(name), *extra)
+
+
+def with_total_before(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: Column, name: str) -> DataFrame:
+    """`df` with the running total of `value` in its key's order, the row itself included; only bucket totals are windowed over a key."""
+    rows = df.withColumn("__v", value)
+    totals = rows.groupBy(*keys, bucket).agg(F.sum("__v").alias("__t"))
+    earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, bucket, F.sum("__t").over(earlier).alias("__before"))
+    so_far = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("__s", F.sum("__v").over(so_far)).join(totals, [*keys, bucket])
+    # a total is null where no row so far has a value
+    return out.select(*df.columns, F.when(F.col("__s").isNull(), F.col("__before")).otherwise(F.col("__s") + F.coalesce("__before", F.col("__s") * 0)).alias(name))
+
+
+def over_last(df: DataFrame, keys: list[str], bucket: Column, order: list[str], rows: int, columns: Callable[[WindowSpec], dict[str, Column]], block: int = 10_000) -> DataFrame:
+    """`df` with columns over a window of the last `rows` rows of a key, the row itself included.
+
+    Rows are ranked (`with_rank`) and cut into blocks of `block` ranks; the last rows of a block are copied to the
+    next one as its context, so no window spans a key.
+    """
+    ranked = with_rank(df, keys, bucket, order, "__r")
+    own = F.floor((F.col("__r") - 1) / block).cast("bigint")
+    lent = (F.col("__r") - 1) % block >= block - (rows - 1)
+    copies = ranked.withColumn("__k", F.explode(F.when(lent, F.array(own, own + 1)).otherwise(F.array(own))))
+    w = Window.partitionBy(*keys, "__k").orderBy("__r").rowsBetween(-(rows - 1), 0)
+    out = copies.select(*df.columns, "__r", "__k", *[v.alias(n) for n, v in columns(w).items()])
+    return out.where(F.col("__k") == own).drop("__r", "__k")

@@ -33,12 +33,13 @@ def interval_islands(df: DataFrame, keys: list[str], start: str, end: str, bucke
     rows = rows.withColumn("island", F.sum("opens").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     # local islands: `before` of the opening row is the latest end of the bucket so far
     local = rows.groupBy(*ks, "bucket", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.max(F.when(F.col("opens") == 1, F.col("before"))).alias("before"))
+    # one summary row per bucket: its latest end, and the start of its last island, which is fresh if it lies behind all ends before
     over_buckets = Window.partitionBy(*ks).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ends = local.groupBy(*ks, "bucket").agg(F.max("e").alias("last_end")).withColumn("carry", F.max("last_end").over(over_buckets)).select(*ks, "bucket", "carry")
-    local = local.join(ends, [*ks, "bucket"]).withColumn("prev_end", F.greatest("carry", "before"))
-    local = local.withColumn("fresh", F.col("carry").isNull() | (F.col("s") > F.col("carry")))
-    opened = local.groupBy(*ks, "bucket").agg(F.max(F.when(F.col("fresh"), F.col("s"))).alias("last_start")).withColumn("open_start", F.max("last_start").over(over_buckets)).select(*ks, "bucket", "open_start")
-    local = local.join(opened, [*ks, "bucket"]).withColumn("start_ms", F.when(F.col("fresh"), F.col("s")).otherwise(F.col("open_start")))
+    summary = local.groupBy(*ks, "bucket").agg(F.max("e").alias("last_end"), F.max("s").alias("last_start")).withColumn("carry", F.max("last_end").over(over_buckets))
+    summary = summary.withColumn("open_start", F.max(F.when(F.col("carry").isNull() | (F.col("last_start") > F.col("carry")), F.col("last_start"))).over(over_buckets))
+    local = local.join(summary.select(*ks, "bucket", "carry", "open_start"), [*ks, "bucket"])
+    local = local.withColumn("fresh", F.col("carry").isNull() | (F.col("s") > F.col("carry"))).withColumn("prev_end", F.greatest("carry", "before"))
+    local = local.withColumn("start_ms", F.when(F.col("fresh"), F.col("s")).otherwise(F.col("open_start")))
     return local.groupBy(*ks, "start_ms").agg(F.max("e").alias("end_ms"), F.max(F.when(F.col("fresh"), F.col("prev_end"))).alias("prev_end"))
 
 

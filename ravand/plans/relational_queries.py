@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ravand.operators.islands import with_head, with_previous
+from ravand.operators.islands import with_head, with_previous, with_rank, with_total_before
 from ravand.plans.registry import query, table
 
 c, lit, when = F.col, F.lit, F.when
@@ -42,9 +42,11 @@ def x03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), c("c_custkey") == c("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("x04_without_orders", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("x04_without_orders", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 200000)")
 def x04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), c("c_custkey") == c("o_custkey"), "left_anti").select("c_custkey")
+    """Customers without a large order."""
+    large = table(spark, sf_dir, "orders").where("o_totalprice > 200000")
+    return table(spark, sf_dir, "customer").join(large, c("c_custkey") == c("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("x05_cube", "select o_orderpriority, o_orderstatus, count(*) as n, cast(grouping(o_orderpriority) * 2 + grouping(o_orderstatus) as bigint) as level from orders group by cube(o_orderpriority, o_orderstatus)")
@@ -59,9 +61,22 @@ def x05b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("x06_windows", "select o_orderkey, rank() over w as rank, dense_rank() over w as dense_rank, ntile(4) over (partition by o_custkey order by o_orderdate, o_orderkey) as quarter, coalesce(lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey), -1) as before, cast(sum(cast(o_totalprice as decimal(18,2))) over (partition by o_custkey order by o_orderdate, o_orderkey rows between unbounded preceding and current row) as double) as running from orders window w as (partition by o_custkey order by o_orderpriority)")
 def x06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w, o = Window.partitionBy("o_custkey").orderBy("o_orderpriority"), Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    run = F.sum(dec(c("o_totalprice"))).over(o.rowsBetween(Window.unboundedPreceding, 0))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.rank().over(w).alias("rank"), F.dense_rank().over(w).alias("dense_rank"), F.ntile(4).over(o).alias("quarter"), F.coalesce(F.lag("o_orderkey").over(o), lit(-1)).alias("before"), run.cast("double").alias("running"))
+    """Ranks, quarters, the row before and running totals of each customer; months are the buckets, so no window spans a customer's rows.
+
+    Ranks by priority follow from the counts of the priorities, which are few.
+    """
+    key, order = ["o_custkey"], ["o_orderdate", "o_orderkey"]
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority", "o_totalprice", F.trunc("o_orderdate", "month").alias("month"))
+    counts = o.groupBy("o_custkey", "o_orderpriority").agg(F.count(lit(1)).alias("k"))
+    by_priority = Window.partitionBy("o_custkey").orderBy("o_orderpriority")
+    ranks = counts.select("o_custkey", "o_orderpriority", (F.coalesce(F.sum("k").over(by_priority.rowsBetween(Window.unboundedPreceding, -1)), lit(0)) + 1).alias("rank"), F.row_number().over(by_priority).alias("dense_rank"))
+    o = with_rank(o, key, c("month"), order, "r", "n")
+    o = with_previous(o, key, "month", order, {"before": "o_orderkey"})
+    o = with_total_before(o, key, "month", order, dec(c("o_totalprice")), "running")
+    # the first n % 4 quarters have one row more
+    more, least = c("n") % 4, F.floor(c("n") / 4)
+    quarter = when(c("r") <= more * (least + 1), F.ceil(c("r") / (least + 1))).otherwise(more + F.ceil((c("r") - more * (least + 1)) / least))
+    return o.join(ranks, ["o_custkey", "o_orderpriority"]).select("o_orderkey", "rank", "dense_rank", quarter.alias("quarter"), F.coalesce("before", lit(-1)).alias("before"), c("running").cast("double").alias("running"))
 
 
 @query("x07_top_items", "select l_orderkey, l_linenumber, r from (select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by l_extendedprice desc, l_linenumber) as r from lineitem) where r <= 3")
@@ -116,10 +131,10 @@ def x11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("x12_as_of", "select event_id, (select max(v.ts) from events v where v.user_id = p.user_id and v.event_type = 'view' and v.ts < p.ts) as last_view from events p where event_type = 'purchase'")
 def x12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last view before each purchase of a user."""
-    e = table(spark, sf_dir, "events").where("event_type in ('view', 'purchase')").withColumn("us", _us("ts"))
-    seen = F.max(when(c("event_type") == "view", c("ts"))).over(Window.partitionBy("user_id").orderBy("us").rangeBetween(Window.unboundedPreceding, -1))
-    return e.withColumn("last_view", seen).where("event_type = 'purchase'").select("event_id", "last_view")
+    """The last view before each purchase of a user; days are the buckets, at one time purchases come before views."""
+    e = table(spark, sf_dir, "events").where("event_type in ('view', 'purchase')").select("user_id", "ts", "event_id", (c("event_type") == "view").cast("int").alias("is_view"), F.to_date("ts").alias("day"))
+    e = with_head(e, ["user_id"], "day", ["ts", "is_view", "event_id"], c("is_view") == 1)
+    return e.where("is_view = 0").select("event_id", c("head.ts").alias("last_view"))
 
 
 _BANDS = ((0, 20, "low"), (20, 60, "middle"), (60, 120, "high"), (120, 1_000_000, "top"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
 
 from ravand.functions import text as T
+from ravand.operators.islands import over_last, with_head, with_previous, with_rank, with_total_before
 from ravand.plans.registry import query, table
 from ravand.plans.text_queries import s_words
 from ravand.session import spread
@@ -78,29 +79,63 @@ def ag8(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MEM = "(select user_id as host_id, ts, event_id, cast(floor(value * 20e0) as bigint) as used from events)"
 
 
-def _memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(c("user_id").alias("host_id"), "ts", "event_id", F.floor(c("value") * 20.0).cast("bigint").alias("used"))
+def _memory(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(c("user_id").alias("host_id"), "ts", "event_id", F.floor(c("value") * 20.0).cast("bigint").alias("used"), *more)
 
 
-@query("ag9_memory_trend", f"select event_id, case when count(*) over w < 2 then 0.0e0 else (last_value(used) over w - first_value(used) over w) / cast(count(*) over w as double) end as trend, case when count(*) over w < 2 then 0.0e0 else avg(used) over w end as avg_usage, count(*) over w as samples from {_MEM} window w as (partition by host_id order by ts, event_id rows between 9 preceding and current row)")
+_TREND = "case when count(*) over w < 2 then 0.0e0 else (last_value(used) over w - first_value(used) over w) / cast(count(*) over w as double) end"
+
+
+def _last_ten(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Memory samples with the trend and mean of the last ten of their host."""
+
+    def columns(w: WindowSpec) -> dict[str, Column]:
+        n = F.count(lit(1)).over(w)
+        return {"trend": when(n < 2, 0.0).otherwise((F.last("used").over(w) - F.first("used").over(w)) / n), "avg_usage": when(n < 2, 0.0).otherwise(F.avg("used").over(w)), "samples": n}
+
+    return over_last(_memory(spark, sf_dir, *more), ["host_id"], F.to_date("ts"), ["ts", "event_id"], 10, columns)
+
+
+@query("ag9_memory_trend", f"select event_id, {_TREND} as trend, case when count(*) over w < 2 then 0.0e0 else avg(used) over w end as avg_usage, count(*) over w as samples from {_MEM} window w as (partition by host_id order by ts, event_id rows between 9 preceding and current row)")
 def ag9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trend and mean of the last ten samples (AG9)."""
-    w = Window.partitionBy("host_id").orderBy("ts", "event_id").rowsBetween(-9, 0)
-    n = F.count(lit(1)).over(w)
-    return _memory(spark, sf_dir).select("event_id", when(n < 2, 0.0).otherwise((F.last("used").over(w) - F.first("used").over(w)) / n).alias("trend"), when(n < 2, 0.0).otherwise(F.avg("used").over(w)).alias("avg_usage"), n.alias("samples"))
+    return _last_ten(spark, sf_dir).select("event_id", "trend", "avg_usage", "samples")
 
 
 @query("ag10_ring_buffer", f"select event_id from (select event_id, row_number() over (partition by host_id order by ts desc, event_id desc) as r from {_MEM}) where r <= 100")
 def ag10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = F.row_number().over(Window.partitionBy("host_id").orderBy(c("ts").desc(), c("event_id").desc()))
-    return _memory(spark, sf_dir).withColumn("r", r).where("r <= 100").select("event_id")
+    """The last hundred samples of each host (AG10), by their place and the host's count."""
+    return with_rank(_memory(spark, sf_dir), ["host_id"], F.to_date("ts"), ["ts", "event_id"], "r", "n").where("n - r < 100").select("event_id")
 
 
-@query("ag11_memory_level", f"select event_id, case when used > 3072 then 'emergency' when used > 2048 then 'critical' when used > 1024 then 'warning' else 'normal' end as level, used > 512 or used % 7 = 0 as should_cleanup, used > 2048 * 0.8e0 as too_large, least(512.0e0, 2048 * 0.3e0) as tightened from {_MEM}")
+@query("ag11_memory_level", f"select event_id, case when used > 3072 then 'emergency' when used > 2048 then 'critical' when used > 1024 then 'warning' else 'normal' end as level, used > 2048 * 0.8e0 as too_large, least(512.0e0, 2048 * 0.3e0) as tightened from {_MEM}")
 def ag11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Level of a memory sample, whether to clean up, whether it fits, the tightened threshold (AG11, AG13, AG18)."""
+    """Level of a memory sample, whether it fits, the tightened threshold (AG11, AG18)."""
     u = c("used")
-    return _memory(spark, sf_dir).select("event_id", when(u > 3072, "emergency").when(u > 2048, "critical").when(u > 1024, "warning").otherwise("normal").alias("level"), ((u > 512) | (u % 7 == 0)).alias("should_cleanup"), (u > 2048 * 0.8).alias("too_large"), F.least(lit(512.0), lit(2048 * 0.3)).alias("tightened"))
+    return _memory(spark, sf_dir).select("event_id", when(u > 3072, "emergency").when(u > 2048, "critical").when(u > 1024, "warning").otherwise("normal").alias("level"), (u > 2048 * 0.8).alias("too_large"), F.least(lit(512.0), lit(2048 * 0.3)).alias("tightened"))
+
+
+def needs_cleanup(used: Column, seconds_since: Column, cleanups: Column, trend: Column, threshold_mb: int = 512, interval_seconds: int = 30) -> Column:
+    """Whether memory is to be cleaned up (AG13): over the threshold, the interval gone by, never cleaned up yet, or a trend of over 50 MB a sample."""
+    return (used > threshold_mb) | F.coalesce(seconds_since > interval_seconds, lit(False)) | (cleanups == 0) | (trend > 50)
+
+
+@query(
+    "ag13_should_cleanup",
+    f"""with m as (select host_id, ts, event_id, used, {_TREND} as trend, count(*) filter (event_type = 'click') over before as cleanups, max(case when event_type = 'click' then ts end) over before as last_one
+                   from (select user_id as host_id, ts, event_id, event_type, cast(floor(value * 20e0) as bigint) as used from events)
+                   window w as (partition by host_id order by ts, event_id rows between 9 preceding and current row), before as (partition by host_id order by ts, event_id rows between unbounded preceding and 1 preceding))
+        select event_id, used > 512 or coalesce(epoch_us(ts) - epoch_us(last_one) > 30000000, false) or cleanups = 0 or trend > 50 as should_cleanup from m""",
+)
+def ag13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each sample calls for a clean-up; the clean-ups of a host are its clicks before."""
+    m = _last_ten(spark, sf_dir, "event_type").withColumn("day", F.to_date("ts"))
+    click = c("event_type") == "click"
+    order = ["ts", "event_id"]
+    m = with_total_before(m, ["host_id"], "day", order, click.cast("bigint"), "clicks").withColumn("cleanups", c("clicks") - click.cast("bigint"))
+    m = with_previous(with_head(m, ["host_id"], "day", order, click), ["host_id"], "day", order, {"last_one": "head"})
+    since = (F.unix_micros(c("ts").cast("timestamp")) - F.unix_micros(c("last_one.ts").cast("timestamp"))) / 1e6
+    return m.select("event_id", needs_cleanup(c("used"), since, c("cleanups"), c("trend")).alias("should_cleanup"))
 
 
 @query("ag12_thresholds", "select o_orderkey, case when m < 4096 then m * 0.3e0 when m < 8192 then 1024.0e0 else 2048.0e0 end as warning, case when m < 4096 then m * 0.5e0 when m < 8192 then 2048.0e0 else 4096.0e0 end as critical, case when m < 4096 then m * 0.7e0 when m < 8192 then 3072.0e0 else 6144.0e0 end as emergency, case when m < 4096 then m * 0.2e0 when m < 8192 then 512.0e0 else 1024.0e0 end as cleanup from (select o_orderkey, cast(floor(o_totalprice / 32) as bigint) as m from orders)")
@@ -135,6 +170,8 @@ def ag16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("o_custkey", "success", when(F.size("e") > 0, F.array_join(F.transform("e", lambda x: x.cast("string")), ",")).alias("errors"), "warnings")
 
 
+# Models with their weights, and the weights without the third one.
+WITHOUT_THIRD = {"whisper": 0.6, "wav2vec2": 0.4}
 MODELS = (("whisper", 0, 0.4), ("wav2vec2", 1, 0.3), ("fastconformer", 2, 0.3))
 _VOTES = """(select doc_id as utt_id, m.model, m.priority, m.weight, case when doc_id % 7 = 2 or (doc_id % 7 <= 1 and m.priority >= 1) or (doc_id + m.priority) % 4 = 0 then ' ' else m.model || cast(doc_id as varchar) end as text, ((doc_id * 37 + m.priority * 11) % 100) / 100e0 as confidence
              from documents cross join (values ('whisper', 0, 0.4e0), ('wav2vec2', 1, 0.3e0), ('fastconformer', 2, 0.3e0)) as m(model, priority, weight))"""
@@ -154,12 +191,30 @@ def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
         select u.utt_id, coalesce(v.text, '') as text, coalesce(case when n = 1 then confidence else weight * confidence end, 0.0e0) as confidence from (select distinct utt_id from {_VOTES}) u left join v on u.utt_id = v.utt_id and r = 1""",
 )
 def v1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _best(_votes(spark, sf_dir))
+
+
+def _best(votes: DataFrame) -> DataFrame:
     """Best of the results that are not blank by weight times confidence, the first of equals; a single one keeps its own confidence (V1, O3)."""
     ok = F.trim("text") != ""
-    g = _votes(spark, sf_dir).groupBy("utt_id").agg(F.count_if(ok).alias("n"), F.max(when(ok, F.struct((c("weight") * c("confidence")).alias("s"), (-c("priority")).alias("p"), "text", "confidence"))).alias("b"))
+    g = votes.groupBy("utt_id").agg(F.count_if(ok).alias("n"), F.max(when(ok, F.struct((c("weight") * c("confidence")).alias("s"), (-c("priority")).alias("p"), "text", "confidence"))).alias("b"))
     return g.select("utt_id", F.coalesce("b.text", lit("")).alias("text"), F.coalesce(when(c("n") == 1, c("b.confidence")).otherwise(c("b.s")), lit(0.0)).alias("confidence"))
 
 
+@query(
+    "v3_missing_model",
+    f"""with v as (select utt_id, model, priority, text, confidence, case when utt_id % 2 = 0 then weight when model = 'whisper' then 0.6e0 else 0.4e0 end as weight from {_VOTES} where utt_id % 2 = 0 or model <> 'fastconformer'),
+             k as (select *, count(*) over (partition by utt_id) as n, row_number() over (partition by utt_id order by weight * confidence desc, priority) as r from v where trim(text) <> '')
+        select u.utt_id, coalesce(k.text, '') as text, coalesce(case when n = 1 then confidence else weight * confidence end, 0.0e0) as confidence from (select distinct utt_id from v) u left join k on u.utt_id = k.utt_id and r = 1""",
+)
+def v3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vote where the third model could not be loaded for every other utterance: the first two weigh 0.6 and 0.4 then (V3)."""
+    third = c("utt_id") % 2 == 0
+    fallback = F.create_map(*[x for n, w in WITHOUT_THIRD.items() for x in (lit(n), lit(w))])
+    v = _votes(spark, sf_dir).withColumn("weight", when(third, c("weight")).otherwise(F.try_element_at(fallback, c("model"))))
+    return _best(v.where("weight is not null"))
+
+
 @query("v2_ensemble_metadata", f"select utt_id, string_agg(model || '=' || printf('%.2f', confidence), ',' order by priority) as confidences, count(*) filter (trim(text) <> '') as n_results from {_VOTES} group by utt_id")
 def v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confidences of all models as a map, written in order of the models (V2)."""
