@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -40,6 +41,9 @@ MARK = re.compile(r">>+|-(?=\s)")
 LABEL = re.compile(rf"{_NAME}\s*(?::|-(?=\s|$)|–|—)|[\[(<{{]\s*{_NAME}\s*[\])>}}](?:\s*\([\d.,:\s–-]*\)\s*:|\s*:)?", re.I)
 NOTE = re.compile(r"\([^()\[\]{}<>]*\)|\[[^()\[\]{}<>]*\]|\{[^()\[\]{}<>]*\}|<[^()\[\]{}<>]*>|\*[^*\n]*\*|[♩♪♫♬\U0001F3B5\U0001F3B6\U0001F3BC]")
 BLANKS = re.compile(r"\s*")
+#: A line that begins with none of these has no head: a label begins with one of its letters, a note, mark or time with the others.
+_HEAD = re.compile(r"[\d(\[{<*>♩♪♫♬\U0001F3B5\U0001F3B6\U0001F3BC-]|speaker|spk|s[ _-]?\d|گوینده|سخنران", re.I)
+_NOTED = re.compile(r"[(\[{<*♩♪♫♬\U0001F3B5\U0001F3B6\U0001F3BC]")
 #: Hesitation sounds, as a whole word without the punctuation around it.
 HESITATION = re.compile(r"u+m+|u+h+m*|e+r+m*|e+h+|e+m+|h+m+|a+h+|m+h*m+|آ{2,}|ا?و?م{2,}|او+م+|ا+م{2,}|ه+م{2,}|هو+م+|اه{2,}|(?:[اآإ]ِ+){2,}|(?:اِ?){3,}", re.I)
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -67,6 +71,12 @@ def _without_notes(text: str) -> str:
         text = shorter
 
 
+@lru_cache(maxsize=200_000)
+def is_word(piece: str) -> bool:
+    """Whether a piece between blanks is a word: it holds a letter or digit and is no hesitation sound."""
+    return _HOLDS_WORD.search(piece) is not None and HESITATION.fullmatch(_EDGES_KEEP.sub("", piece)) is None
+
+
 def parse_chunk(text: str) -> tuple[int | None, list[str]]:
     """(speaker number of the first label, words) of one chunk's text in normal form."""
     speaker: int | None = None
@@ -75,6 +85,8 @@ def parse_chunk(text: str) -> tuple[int | None, list[str]]:
         at, state = 0, "head"
         while state == "head":
             at = BLANKS.match(line, at).end()
+            if not _HEAD.match(line, at):
+                break
             for kind in (RANGE, LABEL, CLOCK, NOTE, MARK):
                 if found := kind.match(line, at):
                     if kind is LABEL and speaker is None:
@@ -87,11 +99,12 @@ def parse_chunk(text: str) -> tuple[int | None, list[str]]:
                     line = line[: inner.start()] + line[inner.end() :]
                 else:
                     state = "text"
-        rest = _without_notes(CLOCK.sub("", RANGE.sub("", line[at:])))
-        for piece in rest.split():
-            bare = _EDGES_KEEP.sub("", piece)
-            if _HOLDS_WORD.search(piece) and not HESITATION.fullmatch(bare):
-                words.append(piece)
+        rest = line[at:]
+        if ":" in rest:
+            rest = CLOCK.sub("", RANGE.sub("", rest))
+        if _NOTED.search(rest):
+            rest = _without_notes(rest)
+        words += filter(is_word, rest.split())
     return speaker, words
 
 
