@@ -109,21 +109,24 @@ def a08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", noise.alias("n")).select("vec_id", A.changed_volume(F.col("n"), 1.0).alias("samples"))
 
 
-@query("a10_reverb")
+TAPS = [2.718281828459045 ** (-k / 2.0) for k in range(8)]
+TAPS = [t / sum(TAPS) for t in TAPS]
+_WET = "list_sum(list_transform({1}, lambda t, k: case when i + 4 - k between 1 and len({0}) then {0}[i + 4 - k] * t else 0.0e0 end))".format(E, "[" + ", ".join(f"{t!r}::double" for t in TAPS) + "]")
+
+
+@query("a10_reverb", f"select vec_id, {s_summed(f'list_transform(range(1, len(embedding) + 1), lambda i: ({E})[i] * 0.7e0 + {_WET} * 0.3e0)')} as checksum from embeddings")
 def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """0.7 of the signal and 0.3 of its convolution with a decay of eight taps (A10)."""
-    taps = [2.718281828459045 ** (-k / 2.0) for k in range(8)]
-    taps = [t / sum(taps) for t in taps]
     a = F.col("embedding")
 
     def sample(i: Column) -> Column:
         wet = F.lit(0.0)
-        for k, t in enumerate(taps):
+        for k, t in enumerate(TAPS):
             at = i + 3 - k  # the middle of the full convolution
             wet = wet + F.when((at >= 0) & (at < F.size(a)), F.get(a, at).cast("double") * t).otherwise(0.0)
         return F.get(a, i).cast("double") * 0.7 + wet * 0.3
 
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.size(a) - 1), sample).alias("samples"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", summed(F.transform(F.sequence(F.lit(0), F.size(a) - 1), sample)).alias("checksum"))
 
 
 @query("a12_augmented_names", "select vec_id, 'clip_' || vec_id || '_aug_' || i || '.wav' as name from (select vec_id, unnest(range(1, least(3, 5) + 1)) as i from embeddings)")

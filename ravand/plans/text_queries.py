@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ravand.functions import arrow
 from ravand.functions import text as T
 from ravand.operators.islands import with_rank
-from ravand.plans.registry import query, table
+from ravand.plans.registry import SQL, query, table
 from ravand.session import spread
 
 B = T.BLANK_RE2
@@ -74,9 +74,42 @@ def t02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", T.collapse_word_runs(F.col("text")).alias("result"))
 
 
+def s_phrases(words: str) -> str:
+    """CTEs that end in `phrased` (doc_id, t): adjacent repeats of phrases of three to nine words taken out of lists `w` of relation `words`.
+
+    A step takes one word, or a phrase with its first repeat (n is its length then), or one repeat more.
+    """
+    return f"""walk as (
+        select doc_id, 1 as i, 0 as n, cast(null as varchar) as o from {words}
+        union all
+        select doc_id, case when n > 0 then case when again then i + n else i end when k is not null then i + 2 * k else i + 1 end, case when n > 0 then case when again then n else 0 end else coalesce(k, 0) end,
+               case when n > 0 then null when k is not null then array_to_string(w[i:i + k - 1], ' ') else w[i] end
+        from (select walk.doc_id, i, n, w, n > 0 and i + n - 1 <= len(w) and w[i:i + n - 1] = w[i - n:i - 1] as again,
+                     case when n = 0 then list_filter([3, 4, 5, 6, 7, 8, 9], lambda m: i + 2 * m - 1 <= len(w) and w[i:i + m - 1] = w[i + m:i + 2 * m - 1])[1] end as k
+              from walk join {words} as d on walk.doc_id = d.doc_id where i <= len(w))),
+        phrased as (select doc_id, string_agg(o, ' ' order by i) as t from walk where o is not null group by doc_id)"""
+
+
+#: CTEs that end in `cleaned` (doc_id, text): T5 of every document.
+S_CLEANED = f"""w as (select doc_id, {s_words("text")} as w from documents),
+    e as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as i from w),
+    b as (select *, case when x = lag(x) over (partition by doc_id order by i) then 0 else 1 end as s from e),
+    g as (select *, sum(s) over (partition by doc_id order by i) as r from b),
+    c as (select doc_id, r, any_value(x) as x, count(*) as n from g group by doc_id, r),
+    short as (select doc_id, flatten(list(case when n > 3 then [x] else list_transform(range(0, n), lambda i: x) end order by r)) as w from c group by doc_id),
+    {s_phrases("short")},
+    cleaned as (select doc_id, case when text is not null then coalesce(t, '') end as text from documents left join phrased using (doc_id))"""
+S_SENTENCES = f"list_filter(list_transform(regexp_split_to_array(text, '[.!?؟]+(?:[{B}]+|\\z)'), lambda s: {s_strip('s')}), lambda s: length(s) > 5)"
+_SW = s_words("s")
+S_KEY_PHRASES = f"list_filter(flatten(list_transform(ss, lambda s: flatten(list_transform(range(1, least(len({_SW}) - 2, 5) + 1), lambda i: list_transform(range(3, least(7, len({_SW}) - i + 1) + 1), lambda n: array_to_string(({_SW})[i:i + n - 1], ' ')))))), lambda p: length(p) > 10)[1:5]"
+S_CUT = "case when length(s) > 100 then left(s, 100) || '...' else s end"
+
 per_document("t03_phrases", T.collapse_phrases)
+SQL["t03_phrases"] = f"with recursive v as (select doc_id, text, {s_words('text')} as w from documents), {s_phrases('v')} select v.doc_id, case when len(w) < 6 then text else t end as result from v left join phrased using (doc_id)"
 per_document("t05_clean_repetition", T.clean_repetition)
+SQL["t05_clean_repetition"] = f"with recursive {S_CLEANED} select doc_id, text as result from cleaned"
 per_document("t07_sentences", joined(T.sentences))
+SQL["t07_sentences"] = f"with recursive {S_CLEANED} select doc_id, array_to_string({S_SENTENCES}[1:3], chr(10)) as result from cleaned"
 per_document(
     "t07_sentence_split",
     joined(lambda t: T.sentences(t, None, False)),
@@ -84,14 +117,28 @@ per_document(
 )
 per_document("t08_paragraphs", joined(T.paragraphs), f"array_to_string(list_filter(list_transform(regexp_split_to_array(text, '\\n[{B}]*\\n|\\.[{B}]*\\n'), lambda p: {s_strip('p')}), lambda p: length(p) >= 50), chr(10))")
 per_document("t09_key_phrases", joined(T.key_phrases))
+SQL["t09_key_phrases"] = f"with recursive {S_CLEANED} select doc_id, array_to_string({S_KEY_PHRASES}, chr(10)) as result from (select doc_id, {S_SENTENCES}[1:10] as ss from cleaned)"
 per_document("t10_preview", lambda t: T.preview(T.sentences(t), F.col("doc_id")))
+SQL["t10_preview"] = f"""with recursive {S_CLEANED}
+    select doc_id, case when len(ss) < 1 then 'Part ' || doc_id || ': [No meaningful content]' else 'Part ' || doc_id || ' Preview: ' || ss[1] || array_to_string(list_transform(ss[2:], lambda s, i: chr(10) || 'Part ' || doc_id || '.' || (i + 1) || ' Preview:' || chr(10) || s || chr(10) || repeat('-', 50)), '') end as result
+    from (select doc_id, list_transform({S_SENTENCES}[1:3], lambda s: {S_CUT}) as ss from cleaned)"""
 per_document("t11_basic_cleaning", lambda t: arrow.nfkc(T.squeeze_marks(t)))
 per_document("t11_squeeze_marks", T.squeeze_marks, s_chain(s_strip(s_squeeze("text")), ("\\.{2,}", "."), (",{2,}", ",")))
 per_document("t13_western_digits", T.western_digits, "translate(text, '۰۱۲۳۴۵۶۷۸۹', '0123456789')")
 MARK_STEPS = ((f"[{B}]*([،؛؟!\\.])[{B}]*", "\\1 "), (f"[{B}]*([,;?!])[{B}]*", "\\1 "), (f"\\([{B}]*", " ("), (f"[{B}]*\\)", ") "), (f'"[{B}]*', ' "'), (f'[{B}]*"', '" '), (f"[{B}]+([،؛؟!\\.])\\z", "\\1"), (f"[{B}]+", " "))
 per_document("t14_space_marks", T.space_marks, s_strip(s_chain("text", *MARK_STEPS)))
+#: CTEs that end in `once` (doc_id, text, c, n_runs, w, o): characters of a run brought down to two, its words, and those without adjacent repeats.
+S_ONCE = f"""ch as (select doc_id, unnest(regexp_extract_all(text, '(?s).')) as x, unnest(range(1, length(text) + 1)) as i from documents),
+    cb as (select *, case when x = lag(x) over (partition by doc_id order by i) then 0 else 1 end as s from ch),
+    cg as (select *, sum(s) over (partition by doc_id order by i) as r from cb),
+    ck as (select *, row_number() over (partition by doc_id, r order by i) as k, x in (chr(10), chr(13), chr(133), chr(8232), chr(8233)) as line from cg),
+    cc as (select doc_id, string_agg(x, '' order by i) filter (k <= 2 or line) as c, count(*) filter (k = 3 and not line) as n_runs from ck group by doc_id),
+    cw as (select d.doc_id, text, case when text is not null then coalesce(c, '') end as c, coalesce(n_runs, 0) as n_runs from documents d left join cc using (doc_id)),
+    once as (select *, list_filter(w, lambda x, i: i = 1 or x <> w[i - 1]) as o from (select *, {s_words("c")} as w from cw))"""
 per_document("t15_drop_repeats", lambda t: T.drop_repeats(t)[0])
+SQL["t15_drop_repeats"] = f"with {S_ONCE} select doc_id, case when len(w) > 1 then array_to_string(o, ' ') else c end as result from once"
 per_document("t15_repeat_count", lambda t: T.drop_repeats(t)[1])
+SQL["t15_repeat_count"] = f"with {S_ONCE} select doc_id, case when text is not null then n_runs + len(w) - len(o) end as result from once"
 per_document(
     "t16_capitalize",
     T.capitalize_clauses,
@@ -327,7 +374,8 @@ def q06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "speaker_segment").select("seg_id", T.noise_level(c * 30, c).alias("noise_level"))
 
 
-_METRICS_SQL = f"select doc_id, {S_Q1} as word_accuracy, {S_Q2} as sentence_fluency, {S_Q3} as punctuation_accuracy, {S_Q4} as speaker_separation, 0.5e0 as confidence, 0.25e0 as noise_level, {S_Q7} as repetition, {S_Q8} as coherence from documents where text is not null"
+_METRICS = f"{S_Q1} as word_accuracy, {S_Q2} as sentence_fluency, {S_Q3} as punctuation_accuracy, {S_Q4} as speaker_separation, 0.5e0 as confidence, 0.25e0 as noise_level, {S_Q7} as repetition, {S_Q8} as coherence"
+_METRICS_SQL = f"select doc_id, {_METRICS} from documents where text is not null"
 _OVERALL = "word_accuracy * 0.25e0 + sentence_fluency * 0.20e0 + punctuation_accuracy * 0.15e0 + speaker_separation * 0.10e0 + confidence * 0.15e0 + (1.0e0 - noise_level) * 0.10e0 + (1.0e0 - repetition) * 0.05e0"
 
 
@@ -384,11 +432,30 @@ def q11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", band.alias("band"), advice.alias("recommendations"))
 
 
-@query("q12_best_pass")
+#: A text that scores so much is not passed over again.
+TARGET = 0.95
+
+
+def best_pass(scores: list[Column], target: float = TARGET) -> Column:
+    """(pass, score) of the best of the passes that are made, the earliest of equals: they stop behind the first at the target."""
+    tried, going = [], F.lit(True)
+    for k, score in enumerate(scores, 1):
+        tried.append(F.when(going, F.struct(score.alias("score"), F.lit(-k).alias("turn"))))
+        going = going & (score < target)
+    return F.array_max(F.array(*tried))
+
+
+@query(
+    "q12_best_pass",
+    f"""with recursive {S_CLEANED},
+        p as (select doc_id, 1 as k, text from documents union all select doc_id, 2, text from cleaned union all select doc_id, 3, case when c <> '' and right(c, 1) not in ('،', '؛', '؟', '!', '.') then c || '.' else c end from (select doc_id, {s_strip(s_squeeze(s_chain("text", *MARK_STEPS)))} as c from documents)),
+        m as (select doc_id, k, {_METRICS} from p where text is not null), s as (select doc_id, k, {_OVERALL} as s from m)
+        select doc_id, arg_max(k, (s, -k)) as best_pass, floor(max(s) * 1e9 + 0.5) as score_e9 from s where not exists (select 1 from s as b where b.doc_id = s.doc_id and b.k < s.k and b.s >= {TARGET}) group by doc_id""",
+)
 def q12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best of up to three passes over a text - as it is, cleaned, post-processed - the earliest of equals."""
+    """The best of up to three passes over a text: as it is, cleaned, post-processed."""
     t = F.col("text")
-    passes = {"1": t, "2": T.clean_repetition(t), "3": T.close_text(T.space_marks(t))}
-    rows = documents(spark, sf_dir).where("text is not null").select("doc_id", *[v.alias(f"t{k}") for k, v in passes.items()])
-    scored = rows.select("doc_id", F.explode(F.array(*[F.struct(T.overall_quality(F.col(f"t{k}"), F.lit(0.5), F.lit(0.25)).alias("score"), F.lit(-int(k)).alias("turn")) for k in passes])).alias("x"))
-    return scored.groupBy("doc_id").agg(F.max("x").alias("b")).select("doc_id", (-F.col("b.turn")).alias("best_pass"), F.col("b.score").alias("score"))
+    passes = [t, T.clean_repetition(t), T.close_text(T.space_marks(t))]
+    rows = documents(spark, sf_dir).where("text is not null").select("doc_id", *[v.alias(f"t{k}") for k, v in enumerate(passes)])
+    scored = rows.select("doc_id", *[T.overall_quality(F.col(f"t{k}"), F.lit(0.5), F.lit(0.25)).alias(f"s{k}") for k in range(len(passes))])
+    return scored.select("doc_id", best_pass([F.col(f"s{k}") for k in range(len(passes))]).alias("b")).select("doc_id", (-F.col("b.turn")).alias("best_pass"), F.floor(F.col("b.score") * 1e9 + 0.5).cast("double").alias("score_e9"))

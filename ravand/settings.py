@@ -6,6 +6,7 @@ import argparse
 import dataclasses
 import json
 from pathlib import Path
+from typing import ClassVar
 
 
 @dataclasses.dataclass(frozen=True)
@@ -101,3 +102,138 @@ def from_arguments(argv: list[str]) -> Settings:
     args = parser.parse_args(argv)
     changes = {"language": args.language, "chunk_duration_ms": args.chunk_duration and int(args.chunk_duration * 1000), "overlap_ms": int(args.overlap * 1000) if args.overlap is not None else None, "output_directory": args.output_dir}
     return preset(args.preset).with_changes(**{k: v for k, v in changes.items() if v is not None})
+
+
+# Settings of a fine-tuning run: four groups, checked as a whole
+
+
+@dataclasses.dataclass
+class ModelPart:
+    base_model_name: str = "openai/whisper-base"
+    model_size: str = "base"
+    language: str = "fa"
+    task: str = "transcribe"
+    use_peft: bool = True
+    lora_r: int = 16
+    lora_alpha: int = 32
+    lora_dropout: float = 0.1
+    use_4bit: bool = False
+    use_8bit: bool = False
+
+
+@dataclasses.dataclass
+class TrainingPart:
+    num_train_epochs: int = 3
+    per_device_train_batch_size: int = 4
+    per_device_eval_batch_size: int = 4
+    gradient_accumulation_steps: int = 4
+    learning_rate: float = 1e-5
+    weight_decay: float = 0.01
+    warmup_steps: int = 500
+    max_steps: int | None = None
+    optim: str = "adamw_torch"
+    lr_scheduler_type: str = "linear"
+    gradient_checkpointing: bool = True
+    fp16: bool = True
+    bf16: bool = False
+    save_steps: int = 1000
+    eval_steps: int = 1000
+    logging_steps: int = 100
+    save_total_limit: int | None = 3
+    load_best_model_at_end: bool = True
+    metric_for_best_model: str = "eval_wer"
+    greater_is_better: bool = False
+
+
+@dataclasses.dataclass
+class DataPart:
+    train_data_path: str = ""
+    validation_data_path: str = ""
+    test_data_path: str = ""
+    output_dir: str = ""
+    max_input_length: float = 30.0
+    min_input_length: float = 1.0
+    target_sample_rate: int = 16000
+    max_text_length: int = 500
+    min_text_length: int = 3
+    augmentation_factor: int = 3
+    quality_threshold: float = 0.7
+
+
+MODEL_SIZES = ("tiny", "base", "small", "medium", "large")
+# What each tier of accelerator memory (below so many GB) sets; None stands for any more, and for no accelerator.
+MEMORY_TIERS: tuple[tuple[float | None, dict], ...] = (
+    (8, {"per_device_train_batch_size": 2, "gradient_accumulation_steps": 8, "fp16": True, "use_4bit": True}),
+    (16, {"per_device_train_batch_size": 4, "gradient_accumulation_steps": 4, "fp16": True}),
+    (None, {"per_device_train_batch_size": 8, "gradient_accumulation_steps": 2, "fp16": False, "bf16": True}),
+)
+WITHOUT_ACCELERATOR = {"per_device_train_batch_size": 1, "gradient_accumulation_steps": 16, "fp16": False, "bf16": False}
+
+
+@dataclasses.dataclass
+class FineTuneSettings:
+    """Checked when made; `changed` gives a copy, `for_hardware` one fitted to the machine."""
+
+    model: ModelPart = dataclasses.field(default_factory=ModelPart)
+    training: TrainingPart = dataclasses.field(default_factory=TrainingPart)
+    data: DataPart = dataclasses.field(default_factory=DataPart)
+    project_name: str = "speech-fine-tuning"
+    run_name: str = "run-1"
+    seed: int = 42
+    dataloader_num_workers: int = 4
+    logging_dir: str = "./logs"
+    report_to: list[str] = dataclasses.field(default_factory=lambda: ["tensorboard"])
+    save_strategy: str = "steps"
+    evaluation_strategy: str = "steps"
+
+    _PARTS: ClassVar[dict[str, type]] = {"model": ModelPart, "training": TrainingPart, "data": DataPart}
+
+    def __post_init__(self) -> None:
+        rules = (
+            (self.model.model_size in MODEL_SIZES, f"Invalid model size: {self.model.model_size}"),
+            (self.training.learning_rate > 0, "Learning rate must be positive"),
+            (self.training.num_train_epochs > 0, "Number of training epochs must be positive"),
+            (bool(self.data.train_data_path), "Training data path must be specified"),
+            (bool(self.data.validation_data_path), "Validation data path must be specified"),
+        )
+        for holds, message in rules:
+            if not holds:
+                raise ValueError(message)
+        self.data.output_dir = self.data.output_dir or f"./output/{self.project_name}"
+        self.logging_dir = self.logging_dir or f"./logs/{self.project_name}"
+
+    def changed(self, changes: dict) -> FineTuneSettings:
+        """A copy with `changes`, each at the first place that has its name: the settings, then model, training, data; unknown names are left out."""
+        values = self.to_dict()
+        for name, value in changes.items():
+            for place in (values, values["model"], values["training"], values["data"]):
+                if name in place:
+                    place[name] = value
+                    break
+        return self.from_dict(values)
+
+    def for_hardware(self, accelerator_gb: float | None, cores: int = 2) -> FineTuneSettings:
+        if accelerator_gb is None:
+            return self.changed({**WITHOUT_ACCELERATOR, "dataloader_num_workers": min(4, cores)})
+        return self.changed(next(changes for below, changes in MEMORY_TIERS if below is None or accelerator_gb < below))
+
+    def training_arguments(self) -> dict:
+        """All settings of a training run by name, flat."""
+        own = {k: getattr(self, k) for k in ("logging_dir", "report_to", "save_strategy", "evaluation_strategy", "dataloader_num_workers", "seed")}
+        return {"output_dir": self.data.output_dir, **dataclasses.asdict(self.training), **own}
+
+    def to_dict(self) -> dict:
+        return dataclasses.asdict(self)
+
+    @classmethod
+    def from_dict(cls, values: dict) -> FineTuneSettings:
+        """From nested values; a part may be given as values or as the part itself."""
+        parts = {k: kind(**values[k]) if isinstance(values.get(k), dict) else values.get(k, kind()) for k, kind in cls._PARTS.items()}
+        return cls(**{**values, **parts})
+
+    def save(self, path: str | Path) -> None:
+        Path(path).write_text(json.dumps(self.to_dict(), ensure_ascii=False), encoding="utf-8")
+
+    @classmethod
+    def load(cls, path: str | Path) -> FineTuneSettings:
+        return cls.from_dict(json.loads(Path(path).read_text(encoding="utf-8")))

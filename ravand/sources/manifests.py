@@ -38,15 +38,31 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(fields).json(path).where("not (audio_path is null and text is null)")
 
 
-def read_voice_corpus(spark: SparkSession, root: str, train: str, dev: str | None = None) -> DataFrame:
-    """A train table and, if there is one, a dev table of `path` and `sentence`, under `root`."""
+def first_existing(spark: SparkSession, root: str, names: str | tuple[str, ...] | None) -> str | None:
+    """The first of `names` that is a file under `root`, on any file system Spark reads; None if there is none."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in (names,) if isinstance(names, str) else names or ():
+        path = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        if path.getFileSystem(conf).exists(path):
+            return name
+    return None
+
+
+def read_voice_corpus(spark: SparkSession, root: str, train: str | tuple[str, ...], dev: str | tuple[str, ...] | None = None) -> DataFrame:
+    """A train table and, if there is one, a dev table of `path` and `sentence`, under `root`.
+
+    Where several names are given, the first file that exists is read; no train file is an error.
+    """
     out = None
-    for split, file in (("train", train), ("validation", dev)):
+    for split, names in (("train", train), ("validation", dev)):
+        file = first_existing(spark, root, names)
         if file:
             part = spark.read.option("header", True).option("sep", "\t").option("quote", "").csv(f"{root}/{file}")
             require_columns(part, ("path", "sentence"))
             part = part.select(F.concat_ws("/", F.lit(root), "path").alias("audio_path"), F.col("sentence").alias("text"), F.lit(split).alias("split"))
             out = part if out is None else out.unionByName(part)
+        elif split == "train":
+            raise FileNotFoundError(f"none of {names} under {root}")
     return out
 
 
@@ -59,10 +75,18 @@ def list_files(spark: SparkSession, root: str, extensions: tuple[str, ...]) -> D
 
 def read_transcripts(spark: SparkSession, root: str) -> DataFrame:
     """(path, stem, text) of transcript files: of a JSON object its text, else transcript, else caption; other files whole."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).select(F.input_file_name().alias("path"), F.col("value").alias("v"))
+    files = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("v"))
     files = files.withColumn("extension", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))).where(F.col("extension").isin(*TRANSCRIPTS))
     keys = F.when(F.col("extension") == "json", F.json_object_keys("v"))
     text = F.col("v")
     for name in ("caption", "transcript", "text"):
         text = F.when(F.array_contains(keys, name), F.get_json_object("v", f"$.{name}")).otherwise(text)
     return files.select("path", F.regexp_extract("path", r"([^/]+?)(?:\.[^./]+)?$", 1).alias("stem"), strip(text).alias("text"))
+
+
+def load_transcript(spark: SparkSession, root: str, name: str, cleaned: bool = False) -> DataFrame:
+    """(path, text) of one transcript, whole; the cleaned one if asked for (S14). A missing file is an error."""
+    file = f"{name}_cleaned.txt" if cleaned else f"{name}.txt"
+    if first_existing(spark, root, file) is None:
+        raise FileNotFoundError(f"{root}/{file}")
+    return spark.read.text(f"{root}/{file}", wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))

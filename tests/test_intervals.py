@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ravand.functions import chunks
-from ravand.operators.islands import keep_islands, merge_gaps, speech_islands, with_rank
+from ravand.operators.islands import keep_islands, merge_gaps, over_last, speech_islands, with_rank, with_total_before
 from ravand.operators.periods import periods_and_gaps
 
 
@@ -95,3 +95,21 @@ def test_rank_across_buckets(spark):
     df = spark.createDataFrame([("a", i) for i in range(50)] + [("b", 7)], "k string, i bigint")
     rows = with_rank(df, ["k"], F.floor(F.col("i") / 9), ["i"], size="n").collect()
     assert all(r["row_no"] == (r["i"] + 1 if r["k"] == "a" else 1) and r["n"] == (50 if r["k"] == "a" else 1) for r in rows)
+
+
+def test_windows_cut_by_buckets(spark):
+    """Last rows and running totals against lists; one key holds most rows, blocks and buckets are small."""
+    rng = random.Random(8)
+    rows = [(i, "a" if rng.random() < 0.8 else rng.choice("bc"), rng.randint(0, 400), rng.choice([None, *range(5)])) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, k string, t long, v long").withColumn("b", F.floor(F.col("t") / 40))
+    last = over_last(df, ["k"], F.col("b"), ["t", "id"], 10, lambda w: {"n": F.count(F.lit(1)).over(w), "s": F.sum("v").over(w), "first": F.first("id").over(w)}, block=25)
+    found = {r["id"]: (r["n"], r["s"], r["first"]) for r in last.collect()}
+    totals = {r["id"]: r["total"] for r in with_total_before(df, ["k"], "b", ["t", "id"], F.col("v"), "total").collect()}
+    assert len(found) == len(totals) == len(rows)
+    add = lambda values: sum(x for x in values if x is not None) if any(x is not None for x in values) else None
+    for key in "abc":
+        own = sorted((r for r in rows if r[1] == key), key=lambda r: (r[2], r[0]))
+        for i, r in enumerate(own):
+            part = own[max(0, i - 9) : i + 1]
+            assert found[r[0]] == (len(part), add([x[3] for x in part]), part[0][0])
+            assert totals[r[0]] == add([x[3] for x in own[: i + 1]])

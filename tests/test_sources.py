@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ravand.operators.split import check_ratios, shuffled_split
 from ravand.operators.stems import match_stems
-from ravand.settings import PRESETS, Settings, batch_size, for_cpu, from_arguments, preset
+from ravand.settings import PRESETS, FineTuneSettings, Settings, batch_size, for_cpu, from_arguments, preset
 from ravand.sources import manifests, sinks
 
 
@@ -34,12 +34,12 @@ def test_listing_and_transcripts(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub/one.WAV").write_bytes(b"1234")
     (tmp_path / "one.json").write_text(json.dumps({"caption": "c", "transcript": " t "}))
-    (tmp_path / "two.txt").write_text("  plain \n")
+    (tmp_path / "two.txt").write_text("  plain \nnext\n")
     (tmp_path / "null.json").write_text('{"text": null, "caption": "c"}')
     files = manifests.list_files(spark, str(tmp_path), manifests.AUDIO).collect()
     assert [(r["stem"], r["extension"], r["length"]) for r in files] == [("one", "wav", 4)]
     texts = {r["stem"]: r["text"] for r in manifests.read_transcripts(spark, str(tmp_path)).collect()}
-    assert texts == {"one": "t", "two": "plain", "null": None}
+    assert texts == {"one": "t", "two": "plain \nnext", "null": None}
 
 
 def test_sinks(spark, tmp_path):
@@ -75,3 +75,33 @@ def test_settings(tmp_path):
     s.save(tmp_path / "s.json")
     assert Settings.load(tmp_path / "s.json") == s
     assert for_cpu(preset("fast")).chunk_duration_ms == 10000 and batch_size(None) == 1 and batch_size(24) == 6
+
+
+def test_first_existing_file_and_transcripts(spark, tmp_path):
+    (tmp_path / "b.tsv").write_text("path\tsentence\na.mp3\thi\n")
+    (tmp_path / "talk.txt").write_text("one\ntwo\n")
+    rows = manifests.read_voice_corpus(spark, str(tmp_path), ("a.tsv", "b.tsv"), ("dev.tsv", "b.tsv")).collect()
+    assert sorted(r["split"] for r in rows) == ["train", "validation"]
+    with pytest.raises(FileNotFoundError):
+        manifests.read_voice_corpus(spark, str(tmp_path), ("a.tsv", "c.tsv"))
+    assert manifests.load_transcript(spark, str(tmp_path), "talk").first()["text"] == "one\ntwo\n"
+    with pytest.raises(FileNotFoundError, match="talk_cleaned"):
+        manifests.load_transcript(spark, str(tmp_path), "talk", cleaned=True)
+
+
+def test_fine_tune_settings(tmp_path):
+    paths = {"train_data_path": "a", "validation_data_path": "b"}
+    made = FineTuneSettings.from_dict({"data": paths, "project_name": "p", "logging_dir": ""})
+    assert (made.data.output_dir, made.logging_dir) == ("./output/p", "./logs/p")
+    for bad in ({"model_size": "huge"}, {"learning_rate": 0}, {"num_train_epochs": 0}, {"train_data_path": ""}, {"validation_data_path": ""}):
+        with pytest.raises(ValueError):
+            made.changed(bad)
+    other = made.changed({"seed": 7, "lora_r": 4, "warmup_steps": 1, "target_sample_rate": 8000, "unknown": 1})
+    assert (other.seed, other.model.lora_r, other.training.warmup_steps, other.data.target_sample_rate) == (7, 4, 1, 8000) and made.seed == 42
+    tiers = {gb: made.for_hardware(gb).training for gb in (6, 12, 40, None)}
+    assert [(t.per_device_train_batch_size, t.gradient_accumulation_steps, t.fp16, t.bf16) for t in tiers.values()] == [(2, 8, True, False), (4, 4, True, False), (8, 2, False, True), (1, 16, False, False)]
+    assert made.for_hardware(6).model.use_4bit and not made.for_hardware(12).model.use_4bit and made.for_hardware(None, cores=2).dataloader_num_workers == 2
+    args = other.training_arguments()
+    assert args["output_dir"] == "./output/p" and args["warmup_steps"] == 1 and args["seed"] == 7
+    other.save(tmp_path / "f.json")
+    assert FineTuneSettings.load(tmp_path / "f.json") == other
