@@ -1,8 +1,9 @@
 """Splits that keep related records together, by component swap search.
 
 A component is all records of one uid (trimmed, lower case); a record without uid is a component of its own.
-Components are counted per dataset with map-side aggregation, so a uid may hold any share of the rows. From a
-hashed assignment, moves and exchanges of whole components lower the deviation of every dataset's splits from
+Components are counted per dataset with map-side aggregation, so a uid may hold any share of the rows. A component
+starts in the split that most of its records of datasets with a split of their own (a `split_column`) stand in now,
+all others by hash. From there, moves and exchanges of whole components lower the deviation of every dataset's splits from
 its ratios under simulated annealing. The components are spread over shards by hash and annealed in parallel
 on the workers; the best of several runs of a shard is kept. Components too large for a shard's
 quotas (more than `LARGE` of a dataset's rows: at most 1 / LARGE for each dataset, whatever the size of the
@@ -120,22 +121,31 @@ def _hashed(keys: list[str], ratios: tuple[float, ...]) -> np.ndarray:
     return np.minimum(np.searchsorted(np.cumsum(ratios) / sum(ratios), x, side="right"), len(ratios) - 1)
 
 
-def assign_splits(records: DataFrame, config: DataFrame, row_id: str = "rec_id", uid: str = "uid", dataset: str = "dataset", seed: int = 7) -> DataFrame:
-    """(row_id, uid, dataset, new_split) of every record; `config` has dataset and the three ratios, a row each.
+def _starts(keys: list[str], votes: np.ndarray, ratios: tuple[float, ...]) -> np.ndarray:
+    """The split with most votes of each component (the first of equals), that of its hash where there are none."""
+    return np.where(votes.sum(axis=1) > 0, votes.argmax(axis=1), _hashed(keys, ratios)) if keys else np.zeros(0, int)
 
-    The configuration is read on the driver: one row for each dataset.
+
+def assign_splits(records: DataFrame, config: DataFrame, row_id: str = "rec_id", uid: str = "uid", dataset: str = "dataset", split: str = "split", seed: int = 7) -> DataFrame:
+    """(row_id, uid, dataset, new_split) of every record; `config` has dataset, the three ratios and, if any has one, split_column, a row each.
+
+    The configuration is read on the driver: one row for each dataset. A dataset whose split_column is null, or
+    that the configuration lacks, has no split of its own: what its records say doesn't count.
     """
     key = F.lower(trimmed(F.col(f"`{uid}`")))
-    rows = records.select(F.col(f"`{row_id}`").alias("row_id"), key.alias("uid"), F.col(f"`{dataset}`").alias("dataset"))
+    settings = config.collect()
+    carries = {r["dataset"] for r in settings if "split_column" in config.columns and r["split_column"] is not None}
+    present = F.when(F.col(f"`{dataset}`").isin(*carries), split_name(F.col(f"`{split}`"))) if carries else F.lit(None).cast("string")
+    rows = records.select(F.col(f"`{row_id}`").alias("row_id"), key.alias("uid"), F.col(f"`{dataset}`").alias("dataset"), present.alias("present"))
     rows = rows.withColumn("component", F.when(F.col("uid").isNotNull(), F.concat(F.lit("u:"), F.col("uid"))).otherwise(F.concat(F.lit("r:"), F.col("row_id").cast("string"))))
     rows = rows.withColumn("ds", F.coalesce("dataset", F.lit("\0")))
-    counts = materialize(rows.groupBy("component", "ds").agg(F.count(F.lit(1)).alias("n")))
+    counts = materialize(rows.groupBy("component", "ds").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("present") == s).alias(s) for s in SPLITS]))
     totals = {r["ds"]: (r["n"], r["k"]) for r in counts.groupBy("ds").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect()}
     names = sorted(totals)
     if not names:
         return rows.select("row_id", "uid", "dataset", F.lit(None).cast("string").alias("new_split"))
     at = {d: i for i, d in enumerate(names)}
-    given = {r["dataset"]: (r["train_ratio"], r["validation_ratio"], r["test_ratio"]) for r in config.collect()}
+    given = {r["dataset"]: (r["train_ratio"], r["validation_ratio"], r["test_ratio"]) for r in settings}
     ratios = np.array([[x or 0.0 for x in given.get(d, DEFAULT_RATIOS)] for d in names])
     ratios /= np.maximum(ratios.sum(axis=1, keepdims=True), 1e-12)
     total = np.array([totals[d][0] for d in names], float)
@@ -143,18 +153,20 @@ def assign_splits(records: DataFrame, config: DataFrame, row_id: str = "rec_id",
     mean = tuple((ratios * total[:, None]).sum(axis=0) / total.sum())
     targets = (ratios * total[:, None]).T
 
-    limit = F.create_map(*[x for d in names for x in (F.lit(d), F.lit(max(2.0, LARGE * totals[d][0])))])
-    large = counts.where(F.col("n") > limit[F.col("ds")]).select("component").distinct()
+    spark = records.sparkSession
+    limits = spark.createDataFrame([(d, max(2.0, LARGE * totals[d][0])) for d in names], "ds string, most double")
+    large = counts.join(F.broadcast(limits), "ds").where("n > most").select("component").distinct()
     big = counts.join(large, "component", "left_semi").collect()  # at most 1 / LARGE for each dataset
     keys = sorted({r["component"] for r in big})
-    sizes = np.zeros((len(keys), len(names)))
+    sizes, votes = np.zeros((len(keys), len(names))), np.zeros((len(keys), len(SPLITS)))
     where = {k: i for i, k in enumerate(keys)}
     for r in big:
         sizes[where[r["component"]], at[r["ds"]]] = r["n"]
+        votes[where[r["component"]]] += [r[s] for s in SPLITS]
     placed = np.zeros(0, int)
     if keys:
         # the small components can fill what is left, so the large ones aim at their own share
-        placed, _ = anneal(sizes, _hashed(keys, mean), ratios.T * sizes.sum(axis=0), weight, seed, min(200_000, 400 * len(keys)))
+        placed, _ = anneal(sizes, _starts(keys, votes, mean), ratios.T * sizes.sum(axis=0), weight, seed, min(200_000, 400 * len(keys)))
         load = np.zeros_like(targets)
         np.add.at(load, placed, sizes)
         rest = np.maximum(targets - load, 0)
@@ -163,7 +175,6 @@ def assign_splits(records: DataFrame, config: DataFrame, row_id: str = "rec_id",
     left = np.maximum(targets.sum(axis=0), 1e-12)
     goal = targets / left  # the share of each split in what the shards hold
 
-    spark = records.sparkSession
     shards = max(1, math.ceil(sum(k for _, k in totals.values()) / SHARD))
     big_df = spark.createDataFrame(pd.DataFrame({"component": keys, "big_split": [SPLITS[p] for p in placed]}), "component string, big_split string")
     rest_counts = counts.join(F.broadcast(big_df), "component", "left_anti").withColumn("shard", F.pmod(F.xxhash64("component"), F.lit(shards)))
@@ -172,8 +183,10 @@ def assign_splits(records: DataFrame, config: DataFrame, row_id: str = "rec_id",
         names_here, index = np.unique(group["component"].to_numpy(dtype=object), return_inverse=True)
         own = np.zeros((len(names_here), len(at)))
         np.add.at(own, (index, group["ds"].map(at).to_numpy()), group["n"].to_numpy())
+        now = np.zeros((len(names_here), len(SPLITS)))
+        np.add.at(now, index, group[list(SPLITS)].to_numpy())
         aim = goal * own.sum(axis=0)
-        placed_here, _ = anneal(own, _hashed(names_here.tolist(), mean), aim, 1.0 / np.maximum(own.sum(axis=0), 1) ** 2, seed + int(group["shard"].iloc[0]), min(60_000, 30 * len(names_here)))
+        placed_here, _ = anneal(own, _starts(names_here.tolist(), now, mean), aim, 1.0 / np.maximum(own.sum(axis=0), 1) ** 2, seed + int(group["shard"].iloc[0]), min(60_000, 30 * len(names_here)))
         return pd.DataFrame({"component": names_here, "small_split": [SPLITS[p] for p in placed_here]})
 
     small_df = rest_counts.groupBy("shard").applyInPandas(run, "component string, small_split string")

@@ -37,3 +37,14 @@ def test_empty(spark):
     config = spark.createDataFrame([], CONFIG)
     assert assign_splits(df.where("false"), config).count() == 0 and spread_uids(df.where("false")).count() == 0
     assert assign_splits(df, config).count() == 5
+
+
+def test_present_splits_are_the_start(spark):
+    """Where speakers already stand apart in the given proportions nothing moves; a dataset without a split column starts by hash."""
+    rows = [(i, f"u{i // 4}", "own", ("train", "train", "train", "dev", "TEST ")[i // 4 % 5]) for i in range(400)]
+    df = spark.createDataFrame(rows, "rec_id bigint, uid string, dataset string, split string")
+    name = {"train": "train", "dev": "validation", "TEST ": "test"}
+    for column, stays in (("split", True), (None, False)):
+        config = spark.createDataFrame([("own", 0.6, 0.2, 0.2, column)], CONFIG + ", split_column string")
+        found = {r["rec_id"]: r["new_split"] for r in assign_splits(df, config).collect()}
+        assert len(found) == len(rows) and all(found[i] == name[s] for i, _, _, s in rows) is stays
