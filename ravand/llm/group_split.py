@@ -70,7 +70,7 @@ def anneal(sizes: np.ndarray, start: np.ndarray, targets: np.ndarray, weight: np
         np.add.at(load, now, sizes)
         gap = (load - targets).tolist()
         cost = sum(w[d] * g * g for row in gap for d, g in enumerate(row))
-        low, low_cost = now.copy(), cost
+        low, low_cost = now.tolist(), cost
         heat = max(cost / max(len(sizes), 1), 1e-12)
         cool = (1e-4) ** (1 / max(steps, 1))
         picks = rng.integers(0, len(sizes), (steps, 2)).tolist()
@@ -88,19 +88,18 @@ def anneal(sizes: np.ndarray, start: np.ndarray, targets: np.ndarray, weight: np
                     change[new, d] = change.get((new, d), 0.0) + n
             delta = sum(w[d] * x * (2 * gap[s][d] + x) for (s, d), x in change.items())
             if delta <= 0 or math.exp(-delta / heat) > chance:
+                better = cost + delta < low_cost - 1e-9
+                if low is None and not better:  # the best so far is left: keep it
+                    low = place.copy()
                 for (s, d), x in change.items():
                     gap[s][d] += x
                 for c, _, new in moves:
                     place[c] = new
                 cost += delta
-                if cost < low_cost - 1e-9:
+                if better:
                     low_cost, low = cost, None
-                elif low is None:
-                    low = place.copy()
-            elif low is None:
-                low = place.copy()
             heat *= cool
-        final = place if low is None or cost <= low_cost else low
+        final = place if low is None else low  # moves that gain nothing are not kept
         final_cost = _cost(sizes, np.array(final), targets, weight)
         if final_cost < best_cost:
             best, best_cost = np.array(final), final_cost
