@@ -193,9 +193,8 @@ class Encoder:
         slots = len(self.start) + np.arange(len(size))
         self.start, self.size = np.concatenate([self.start, begin]), np.concatenate([self.size, count])
         self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
-        hashes, slots = np.concatenate([self.hashes, hashes]), np.concatenate([self.slot, slots])
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.slot = hashes[order], slots[order]
+        at = np.searchsorted(self.hashes, hashes)  # both are sorted: they are merged
+        self.hashes, self.slot = np.insert(self.hashes, at, hashes), np.insert(self.slot, at, slots)
 
 
 def encode_corpus(df: DataFrame, row_id: str, text: str, tokenizer: str = "/opt/tokenizers/byte_bpe_50k.json") -> DataFrame:
