@@ -234,13 +234,13 @@ def word_counters(classes: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def seed_filter(seeds: DataFrame, bits: int) -> np.ndarray:
-    """Bit map of the hashes of `seeds`: one whose bit is not set is not among them."""
+def seed_filter(counts: DataFrame, bits: int) -> tuple[np.ndarray, int]:
+    """(bit map of the hashes of `counts`, total of n): a hash whose bit is not set is not among them."""
     place = F.expr(f"cast(shiftright(sig & {bits - 1}L, 6) as int)")
-    words = seeds.groupBy(place.alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(sig & 63 as int))")).alias("w")).toPandas()
+    words = counts.groupBy(place.alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(sig & 63 as int))")).alias("w"), F.sum("n").alias("n")).toPandas()
     out = np.zeros(bits // 64, np.int64)
     out[words["i"].to_numpy(np.int64)] = words["w"].to_numpy(np.int64)
-    return out.view(np.uint64)
+    return out.view(np.uint64), int(words["n"].sum())
 
 
 def class_seeds(classes: DataFrame, counters: Broadcast, hot: Broadcast | None = None, among: Broadcast | None = None) -> DataFrame:
@@ -359,13 +359,13 @@ NEAR = (
 def candidates(classes: DataFrame) -> DataFrame:
     """(ca, cb, hits), a written table, of classes of train and evaluation records that share a seed where a near text may have it."""
     context = classes.sparkSession.sparkContext
-    counters = context.broadcast(word_counters(classes, _power_of_two(4 * classes.count(), 1 << 16, MOST_COUNTERS)))
+    n = classes.count()
+    counters = context.broadcast(word_counters(classes, _power_of_two(4 * n, 1 << 16, MOST_COUNTERS)))
     train, held_out = classes.where("in_train"), classes.where("in_eval")
     counts = materialize(class_seeds(held_out, counters).groupBy("sig").agg(F.count(F.lit(1)).alias("n")))
-    total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
-    hot = counts.where(F.col("n") > max(HOT, (total or 0) // MOST_HOT)).select("sig").toPandas()["sig"].to_numpy(np.int64).view(np.uint64)
-    hot = context.broadcast(np.sort(hot))
-    among = context.broadcast(seed_filter(counts, _power_of_two(16 * distinct, 1 << 16, MOST_FILTER_BITS)))
+    among, total = seed_filter(counts, _power_of_two(64 * n, 1 << 16, MOST_FILTER_BITS))
+    hot = counts.where(F.col("n") > max(HOT, total // MOST_HOT)).select("sig").toPandas()["sig"].to_numpy(np.int64).view(np.uint64)
+    hot, among = context.broadcast(np.sort(hot)), context.broadcast(among)
     # most train seeds meet no evaluation seed: the filter keeps them out of the shuffle
     ta, tb = (class_seeds(side, counters, hot, among) for side in (train, held_out))
     meetings = ta.alias("ta").join(tb.alias("tb"), F.expr(f"ta.sig = tb.sig and {NEAR}")).selectExpr("ta.cid as ca", "tb.cid as cb", "ta.lo as a", "tb.lo as b")
@@ -385,12 +385,12 @@ def cross_split_classes(df: DataFrame, row_id: str = "rec_id", text: str = "text
     sequences = materialize(word_sequences(source, ["rec_id", "in_train"], "text"))
     classes = materialize(sequences.groupBy("k1", "k2").agg(F.min("rec_id").alias("cid"), F.bool_or("in_train").alias("in_train"), F.bool_or(~F.col("in_train")).alias("in_eval"), F.first("words").alias("words")))
     met = candidates(classes)
-    needed = met.select(F.explode(F.array("ca", "cb")).alias("cid")).distinct()
+    needed = met.select(F.explode(F.array("ca", "cb")).alias("cid"))
     texts = materialize(classes.select("cid", "words").join(needed, "cid", "left_semi"))
     pairs = met.join(texts.select(F.col("cid").alias("ca"), F.col("words").alias("wa")), "ca").join(texts.select(F.col("cid").alias("cb"), F.col("words").alias("wb")), "cb")
     same = classes.where("in_train and in_eval").select(F.col("cid").alias("ca"), F.col("cid").alias("cb"), *[F.expr("int(octet_length(words) div 4)").alias(c) for c in ("matched", "na", "nb")])
     links = materialize(aligned(spread(pairs)).unionByName(same))
-    linked = classes.select("k1", "k2", "cid").join(links.select(F.explode(F.array("ca", "cb")).alias("cid")).distinct(), "cid", "left_semi")
+    linked = classes.select("k1", "k2", "cid").join(links.select(F.explode(F.array("ca", "cb")).alias("cid")), "cid", "left_semi")
     members = materialize(sequences.select("rec_id", "in_train", "k1", "k2").join(linked, ["k1", "k2"]).select("rec_id", "in_train", "cid"))
     free(sequences, classes, met, texts)
     return members, links
