@@ -46,7 +46,7 @@ COMMON, CHAINED = 200, 3
 #: Evaluation classes beyond which a seed is hot.
 HOT = 200
 #: Bounds of what is broadcast: counters of words and rolling hashes, bits of the seed filter, hot seeds.
-MOST_COUNTERS, MOST_FILTER_BITS, MOST_HOT = 1 << 22, 1 << 28, 1 << 20
+MOST_COUNTERS, MOST_FILTER_BITS, MOST_HOT = 1 << 22, 1 << 27, 1 << 20
 
 
 def word_sequences(df: DataFrame, keep: list[str], text: str) -> DataFrame:
@@ -234,13 +234,13 @@ def word_counters(classes: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def seed_filter(counts: DataFrame, bits: int) -> tuple[np.ndarray, int]:
-    """(bit map of the hashes of `counts`, total of n): a hash whose bit is not set is not among them."""
+def seed_filter(counts: DataFrame, bits: int) -> np.ndarray:
+    """Bit map of the hashes of `counts`: one whose bit is not set is not among them."""
     place = F.expr(f"cast(shiftright(sig & {bits - 1}L, 6) as int)")
-    words = counts.groupBy(place.alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(sig & 63 as int))")).alias("w"), F.sum("n").alias("n")).toPandas()
+    words = counts.groupBy(place.alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(sig & 63 as int))")).alias("w")).toPandas()
     out = np.zeros(bits // 64, np.int64)
     out[words["i"].to_numpy(np.int64)] = words["w"].to_numpy(np.int64)
-    return out.view(np.uint64), int(words["n"].sum())
+    return out.view(np.uint64)
 
 
 def class_seeds(classes: DataFrame, counters: Broadcast, hot: Broadcast | None = None, among: Broadcast | None = None) -> DataFrame:
@@ -363,7 +363,8 @@ def candidates(classes: DataFrame) -> DataFrame:
     counters = context.broadcast(word_counters(classes, _power_of_two(4 * n, 1 << 16, MOST_COUNTERS)))
     train, held_out = classes.where("in_train"), classes.where("in_eval")
     counts = materialize(class_seeds(held_out, counters).groupBy("sig").agg(F.count(F.lit(1)).alias("n")))
-    among, total = seed_filter(counts, _power_of_two(64 * n, 1 << 16, MOST_FILTER_BITS))
+    among = seed_filter(counts, _power_of_two(48 * n, 1 << 16, MOST_FILTER_BITS))
+    total = counts.agg(F.sum("n")).first()[0] or 0
     hot = counts.where(F.col("n") > max(HOT, total // MOST_HOT)).select("sig").toPandas()["sig"].to_numpy(np.int64).view(np.uint64)
     hot, among = context.broadcast(np.sort(hot)), context.broadcast(among)
     # most train seeds meet no evaluation seed: the filter keeps them out of the shuffle
