@@ -188,7 +188,8 @@ def assign_splits(records: DataFrame, config: DataFrame, row_id: str = "rec_id",
         placed_here, _ = anneal(own, _starts(names_here.tolist(), now, mean), aim, 1.0 / np.maximum(own.sum(axis=0), 1) ** 2, seed + int(group["shard"].iloc[0]), min(60_000, 30 * len(names_here)))
         return pd.DataFrame({"component": names_here, "small_split": [SPLITS[p] for p in placed_here]})
 
-    small_df = rest_counts.groupBy("shard").applyInPandas(run, "component string, small_split string")
+    # as many partitions as shards: small shards would otherwise be put together into one task, though their work is not small
+    small_df = rest_counts.repartition(shards, "shard").groupBy("shard").applyInPandas(run, "component string, small_split string")
     out = rows.join(F.broadcast(big_df), "component", "left")
     big_rows = out.where("big_split is not null").withColumn("new_split", F.col("big_split"))
     small_rows = out.where("big_split is null").join(small_df, "component").withColumn("new_split", F.col("small_split"))
