@@ -83,15 +83,20 @@ def i08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speech_islands(frames(spark, sf_dir))
 
 
-@query(
-    "i09_kept_islands",
-    f"""with {_ISLANDS}, p as (select *, lag(end_ms) over (partition by file_id order by start_ms) as pe from i), h as (select *, sum(case when pe is null or start_ms - pe >= 90 then 1 else 0 end) over (partition by file_id order by start_ms) as h from p),
-        m as (select file_id, min(start_ms) as start_ms, max(end_ms) as end_ms from h group by file_id, h having max(end_ms) - min(start_ms) >= 600)
-        select * from m union all select file_id, 0, (max(frame_no) + 1) * 30 from f where file_id not in (select file_id from m) group by file_id""",
-)
-def i09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = frames(spark, sf_dir)
-    return keep_islands(speech_islands(f), f.groupBy("file_id").agg(((F.max("frame_no") + 1) * 30).alias("length_ms")), gap_ms=90, least_ms=600)
+def kept(name: str, gap_ms: int, least_ms: int) -> None:
+    sql = f"""with {_ISLANDS}, p as (select *, lag(end_ms) over (partition by file_id order by start_ms) as pe from i), h as (select *, sum(case when pe is null or start_ms - pe >= {gap_ms} then 1 else 0 end) over (partition by file_id order by start_ms) as h from p),
+        m as (select file_id, min(start_ms) as start_ms, max(end_ms) as end_ms from h group by file_id, h having max(end_ms) - min(start_ms) >= {least_ms})
+        select * from m union all select file_id, 0, (max(frame_no) + 1) * 30 from f where file_id not in (select file_id from m) group by file_id"""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        f = frames(spark, sf_dir)
+        return keep_islands(speech_islands(f), f.groupBy("file_id").agg(((F.max("frame_no") + 1) * 30).alias("length_ms")), gap_ms, least_ms)
+
+    query(name, sql)(run)
+
+
+kept("i09_kept_islands", 500, 1000)
+kept("i09_small_gaps", 90, 600)
 
 
 @query("i11_coverage", "select file_id, floor(sum(cast(round((end_time - start_time) * 1000) as bigint)) * 100.0e0 / max(cast(round(end_time * 1000) as bigint)) * 1e6 + 0.5) as coverage_e6, sum(cast(round((end_time - start_time) * 1000) as bigint)) * 100.0e0 / max(cast(round(end_time * 1000) as bigint)) < 20 as use_fallback from speaker_segment where end_time > start_time group by file_id")

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravand.functions import arrays as A
 from ravand.functions.spectral import pooled_features, spectral_entropy
 from ravand.operators.clustering import centroid_silhouette, cluster_speakers, silhouette_points
+from ravand.operators.islands import speech_islands, with_rank
 from ravand.plans.registry import query, table
 
 SUM = "list_sum(list_transform({0}, lambda x: cast(x as double)))"
@@ -196,18 +197,17 @@ def i10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Energy voice activity (I10): frames over the 40th percentile of their energy, islands of 50 ms or more.
 
     The z-score keeps the order of the energies, so the threshold is taken on the energies themselves. Signals
-    are the embeddings of a label one after another; the window and the sort of a signal's frames can spill.
+    are the embeddings of a label one after another; samples are ranked in steps of vectors and runs found in
+    blocks of frames, so no window spans a signal.
     """
     e = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("k", "x"))
-    x = e.select("label", F.col("x").cast("double").alias("x"), (F.row_number().over(Window.partitionBy("label").orderBy("vec_id", "k")) - 1).alias("p"))
+    x = with_rank(e, ["label"], F.floor(F.col("vec_id") / 100), ["vec_id", "k"], "r").select("label", F.col("x").cast("double").alias("x"), (F.col("r") - 1).alias("p"))
     # a sample lies in the frames that begin up to FRAME before it: two or three of them
     frames = x.select("label", "x", F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col("p") - FRAME + 1) / HOP)).cast("bigint"), F.floor(F.col("p") / HOP).cast("bigint"))).alias("i"))
     lengths = x.groupBy("label").agg((F.max("p") + 1).alias("len"))
     en = frames.join(lengths, "label").where(F.col("i") * HOP < F.col("len") - FRAME).groupBy("label", "i", "len").agg(F.floor(F.sum(F.col("x") * F.col("x")) * 1e9 + 0.5).cast("double").alias("en"))
-    th = en.groupBy("label").agg(F.percentile("en", F.lit(0.4)).alias("th"), (F.max("i") + 1).alias("n"))
-    w = Window.partitionBy("label").orderBy("i")
-    b = en.join(th, "label").withColumn("sp", F.col("en") > F.col("th")).withColumn("q", F.lag("sp").over(w))
-    g = b.withColumn("g", F.sum(F.when(F.col("sp") & ~F.coalesce("q", F.lit(False)), 1).otherwise(0)).over(w)).where("sp")
-    r = g.groupBy("label", "g", "len", "n").agg(F.min("i").alias("a"), (F.max("i") + 1).alias("z"))
-    end = F.when(F.col("z") == F.col("n"), F.col("len")).otherwise(F.col("z") * HOP)
-    return r.select("label", (F.col("a") * HOP).alias("start_ms"), end.alias("end_ms")).where("end_ms - start_ms >= 50")
+    th = en.groupBy("label").agg(F.percentile("en", F.lit(0.4)).alias("th"), (F.max("i") + 1).alias("n"), F.max("len").alias("len"))
+    speech = en.join(th.select("label", "th"), "label").select(F.col("label").alias("file_id"), F.col("i").alias("frame_no"), (F.col("en") > F.col("th")).alias("is_speech"))
+    r = speech_islands(speech, 1).withColumnRenamed("file_id", "label").join(th, "label")  # a frame is a step here
+    end = F.when(F.col("end_ms") == F.col("n"), F.col("len")).otherwise(F.col("end_ms") * HOP)
+    return r.select("label", (F.col("start_ms") * HOP).alias("start_ms"), end.alias("end_ms")).where("end_ms - start_ms >= 50")
