@@ -150,11 +150,11 @@ def turn_lines(df: DataFrame, with_text: bool = True, bucket_ms: int = 3_600_000
     `df` has the columns of chunk_info. A turn is named by the start and the number of its first chunk.
     """
     done = df.where("status = 'completed' and file_id is not null and start_time is not null and not isnan(start_time)")
-    parsed = parse_chunks(done, "text", "speaker_id", ["file_id", "chunk_id", "row_id", "ingested_at", "start_time"], with_text)
-    value = F.struct("ingested_at", "row_id", "start_time", "speaker_no", "n_words", *(["clean_text"] if with_text else []))
-    latest = parsed.groupBy("file_id", "chunk_id").agg(F.max(value).alias("x")).select("file_id", "chunk_id", "x.*")
+    # deliveries that are not the latest are never parsed
+    latest = done.groupBy("file_id", "chunk_id").agg(F.max(F.struct("ingested_at", "row_id", "start_time", "text", "speaker_id")).alias("x")).select("file_id", "chunk_id", "x.*")
+    parsed = parse_chunks(latest, "text", "speaker_id", ["file_id", "chunk_id", "row_id", "ingested_at", "start_time"], with_text)
     start = F.round(F.col("start_time") * 1000).cast("bigint")
-    rows = materialize(latest.where("n_words > 0").withColumn("start_ms", start).withColumn("bucket", F.floor(start / F.lit(bucket_ms)).cast("bigint")).drop("ingested_at", "row_id"))
+    rows = materialize(parsed.where("n_words > 0").withColumn("start_ms", start).withColumn("bucket", F.floor(start / F.lit(bucket_ms)).cast("bigint")).drop("ingested_at", "row_id"))
     inside = Window.partitionBy("file_id", "bucket").orderBy("start_time", "chunk_id")
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy("file_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
