@@ -151,3 +151,11 @@ def test_repeated_words_and_nulls(spark):
     assert [tuple(r) for r in cross_split_pairs(df).collect()] == [(1, 2)]
     cover = record_coverage(df).collect()
     assert len(cover) == 1 and cover[0]["rec_id"] == 2 and cover[0]["n_train"] == 1 and 0.99 < cover[0]["coverage"] < 1
+
+
+def test_texts_of_few_words(spark):
+    """Texts of one to four words are near only if they are the same or, from four to five words, one word is added."""
+    rows = [(1, "one", "train"), (2, "ONE!", "test"), (3, "two", "train"), (4, "a b c d", "train"), (5, "a b x c d", "dev"), (6, "a b c", "dev"), (7, "", "train"), (8, "a b c e", "valid")]
+    df = spark.createDataFrame(rows, "rec_id bigint, text string, split string").selectExpr("*", "1 as k1", "'w' as words", "0 as sig")
+    assert sorted(tuple(r) for r in cross_split_pairs(df).collect()) == [(1, 2), (4, 5)]
+    assert cross_split_pairs(df.where("rec_id < 4")).count() == 1
