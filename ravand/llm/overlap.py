@@ -255,7 +255,7 @@ def class_seeds(classes: DataFrame, counters: Broadcast, hot: Broadcast | None =
             begins = np.ones(len(sig), bool)
             begins[1:] = (sig[1:] != sig[:-1]) | (who[1:] != who[:-1])
             lo = np.flatnonzero(begins)
-            hi = np.append(lo[1:], len(sig)) - 1
+            hi = np.append(lo[1:], len(sig))[: len(lo)] - 1
             first = np.concatenate([[0], np.cumsum(size)])
             bit = np.uint64(1) << (cp.mix(words + np.uint64(77)) >> np.uint64(58))
             maps = np.zeros(len(size), np.uint64)
