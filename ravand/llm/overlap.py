@@ -12,13 +12,15 @@ copies form one class and only classes are compared.
    other words. All this rests on the text alone, so both sides do the same.
 3. A seed that many evaluation classes hold (HOT) would meet them all. It is joined together with each of the
    rarest distinct other words of the text, one more than words may differ: of texts within tolerance that share
-   the seed, the rarest word they share is among those of both, so no pair is lost.
+   the seed, the rarest word they share is among those of both, so no pair is lost. In texts of over LONG words the
+   rare words are those around the seed, so that rows grow with the length of a text and not with its square: a pair
+   is found by any of its hot seeds around which at most two words in five differ, which is twice the share allowed.
 4. Seeds of the two sides are joined. A meeting stays if lengths, places and 64-bit word maps allow a near text;
    the test is a necessary condition. The seeds of a pair are chained collinearly, and the chain is extended by
    alignment of what lies between. A pair is kept if at most a fifth of the longer text's words is left.
 
 Counters, the filter of evaluation seeds and the list of hot seeds grow with the corpus up to a fixed size; beyond
-it they only save less work. Cost grows with the length of a text times the number of its hot seeds.
+it they only save less work.
 
 Defined cases: null and blank texts, texts without a letter or digit, records without a known split or without
 an id are no case; repeated rows are records of their own; other columns of the input don't matter.
@@ -45,6 +47,8 @@ TOLERANCE = 5
 COMMON, CHAINED = 200, 3
 #: Evaluation classes beyond which a seed is hot.
 HOT = 200
+#: Words beyond which rare words are taken from the REACH words on either side of a hot seed instead of the whole text; a partner has a fourth more at most.
+LONG, REACH = 64, 20
 #: Bounds of what is broadcast: counters of words and rolling hashes, bits of the seed filter, hot seeds.
 MOST_COUNTERS, MOST_FILTER_BITS, MOST_HOT = 1 << 22, 1 << 27, 1 << 20
 
@@ -148,6 +152,37 @@ def with_rare_words(sig: np.ndarray, who: np.ndarray, inner: np.ndarray, most: n
     return np.concatenate([row[fresh], alone]), np.concatenate([out, single]), np.concatenate([word[fresh], inner[alone, 0]])
 
 
+def with_near_words(sig: np.ndarray, place: np.ndarray, inner: np.ndarray, words: np.ndarray, owner: np.ndarray, counters: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """(seed number, hash) of each seed with each of the rarest words among the REACH before and behind it, two in five and one more.
+
+    A window with fewer other words is one in which none of them may be shared: the seed alone stands for it as well.
+    """
+    numbers, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for a in range(0, len(sig), 20_000):
+        s, own = sig[a : a + 20_000], inner[a : a + 20_000]
+        around = place[a : a + 20_000, None] + np.arange(-REACH, REACH + 1)
+        inside = (around >= 0) & (around < len(words))
+        around = np.clip(around, 0, len(words) - 1)
+        inside &= owner[around] == owner[place[a : a + 20_000]][:, None]
+        word = words[around]
+        most = inside.sum(axis=1) * 2 // TOLERANCE + 1
+        # words are of 32 bits and ranks of 16: sorted as one number, what is outside last
+        key = np.where(inside, counters[slots(cp.mix(word), len(counters))].astype(np.uint64) << np.uint64(32) | word, np.uint64(2**64 - 1))
+        key.sort(axis=1)
+        word = key & np.uint64(2**32 - 1)
+        fresh = key != np.uint64(2**64 - 1)
+        fresh[:, 1:] &= key[:, 1:] != key[:, :-1]
+        for k in range(own.shape[1]):
+            fresh &= word != own[:, k, None]
+        fresh &= np.cumsum(fresh, axis=1) <= most[:, None]
+        row, column = np.nonzero(fresh)
+        alone = np.flatnonzero(fresh.sum(axis=1) < most)
+        with np.errstate(over="ignore"):
+            hashes += [cp.mix(s[row] * np.uint64(7) + cp.mix(word[row, column] + np.uint64(salt))), cp.mix(s[alone] * np.uint64(7) + np.uint64(salt + 1))]
+        numbers += [row + a, alone + a]
+    return np.concatenate(numbers), np.concatenate(hashes)
+
+
 def text_seeds(words: np.ndarray, owner: np.ndarray, size: np.ndarray, counters: np.ndarray, hot: np.ndarray, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text, place in the text) of the seeds of texts, without those that the bit map `among` rules out.
 
@@ -186,10 +221,14 @@ def text_seeds(words: np.ndarray, owner: np.ndarray, size: np.ndarray, counters:
         near = np.minimum(np.searchsorted(hot, sig), len(hot) - 1)
         is_hot = np.flatnonzero(hot[near] == sig)
         if len(is_hot):
-            number, h, _ = with_rare_words(sig[is_hot], text[is_hot], inside[is_hot], size[text[is_hot]] // TOLERANCE + 1, *rare, 57)
+            length = size[text[is_hot]]
+            whole, long = is_hot[length <= LONG * 25 // 16], is_hot[length > LONG]
+            number, h, _ = with_rare_words(sig[whole], text[whole], inside[whole], size[text[whole]] // TOLERANCE + 1, *rare, 57)
+            number_long, h_long = with_near_words(sig[long], place[long], inside[long], words, owner, counters, 91)
             cool = np.ones(len(sig), bool)
             cool[is_hot] = False
-            sig, text, place = np.concatenate([sig[cool], h]), np.concatenate([text[cool], text[is_hot][number]]), np.concatenate([place[cool], place[is_hot][number]])
+            at = np.concatenate([np.flatnonzero(cool), whole[number], long[number_long]])
+            sig, text, place = np.concatenate([sig[cool], h, h_long]), text[at], place[at]
     return sig, text, place - first[text]
 
 

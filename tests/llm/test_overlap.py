@@ -102,7 +102,7 @@ def test_recall_at_the_limit():
     vocabulary = np.random.default_rng(5).integers(1, 2**32, 4000).tolist()
     weights = [1 / (i + 5) for i in range(4000)]
     for repeat in (1, 20):  # a small corpus, and one in which most rolling hashes are common
-        texts = [rng.choices(vocabulary, weights, k=rng.randint(3, 60)) for _ in range(3000)]
+        texts = [rng.choices(vocabulary, weights, k=rng.randint(3, 60)) for _ in range(3000)] + [rng.choices(vocabulary, weights, k=rng.randint(60, 130)) for _ in range(600)]
         pairs = [(t, changed(rng, t, vocabulary)) for t in texts]
         arrays = []
         for side in range(2):
@@ -115,10 +115,24 @@ def test_recall_at_the_limit():
             np.add.at(counters, slots(rolling(words, owner)[0], len(counters)), repeat * (COMMON // 20))
         plain = [text_seeds(*a, counters, np.zeros(0, np.uint64)) for a in arrays]
         every = np.unique(plain[0][0])
+        lengths = np.array([len(a) for a, _ in pairs])
+        assert (lengths > 60).sum() > 500
         for hot in (np.zeros(0, np.uint64), every, every[::2]):
             found = [set(zip(s.tolist(), o.tolist(), strict=True)) for s, o, _ in (text_seeds(*a, counters, hot) for a in arrays)]
             met = {o for _, o in found[0] & found[1]} | {i for i, (a, b) in enumerate(pairs) if a == b}
-            assert len(met) >= 0.99 * len(pairs), (repeat, len(hot), len(met))
+            for some in (lengths <= 60, lengths > 60):
+                assert sum(i in met for i in np.flatnonzero(some)) >= 0.99 * some.sum(), (repeat, len(hot), len(met))
+
+
+def test_seeds_of_a_long_text_grow_with_its_length():
+    import numpy as np
+
+    from ravand.llm.overlap import text_seeds
+
+    words = np.random.default_rng(6).integers(1, 2**32, 100_000).astype(np.uint64)
+    args = words, np.zeros(len(words), np.int64), np.array([len(words)]), np.ones(1 << 16, np.uint16)
+    every = np.unique(text_seeds(*args, np.zeros(0, np.uint64))[0])
+    assert len(text_seeds(*args, every)[0]) <= 18 * len(every)
 
 
 def test_chained_seeds():
